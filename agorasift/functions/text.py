@@ -23,7 +23,7 @@ NUMERIC_PATTERN = r"^\p{N}+$"
 
 # Biography ages, in Spanish and English.
 AGE_PATTERN = (
-    r"(?i)(?:^|level|lvl|nivel)\s?([0-6][0-9])\."
+    r"(?iu)(?:^|level|lvl|nivel)\s?([0-6][0-9])\."
     r"|(?:^|[^\p{L}\p{N}_])([0-9]{2})\s?"
     r"(?:años|veranos|otoños|inviernos|primaveras|years old|vueltas|lunas|soles)"
 )
@@ -78,18 +78,17 @@ def is_numeric(token: Column) -> Column:
     return token.rlike(NUMERIC_PATTERN)
 
 
-def clean_tokens(tokens: Column, remove_urls: bool = True, remove_punctuation: bool = True) -> Column:
-    """Drop empty tokens and, as asked, symbol runs and web addresses."""
+def _unwanted_pattern(remove_urls: bool, remove_punctuation: bool) -> str | None:
+    parts = ([f"{URL_PATTERN}.*$"] if remove_urls else []) + ([PUNCTUATION_PATTERN] if remove_punctuation else [])
+    return "|".join(parts) or None
 
-    def keep(token: Column) -> Column:
-        test = F.length(token) > 0
-        if remove_punctuation:
-            test = test & ~is_punctuation(token)
-        if remove_urls:
-            test = test & ~is_url(token)
-        return test
 
-    return F.filter(tokens, keep)
+def clean_tokens(tokens: Column, remove_urls: bool = True, remove_punctuation: bool = True) -> Column:
+    """Drop symbol runs and web addresses, as asked; one test per token."""
+    pattern = _unwanted_pattern(remove_urls, remove_punctuation)
+    if pattern is None:
+        return tokens
+    return F.filter(tokens, lambda token: ~token.rlike(pattern))
 
 
 def drop_stopwords(tokens: Column, stopwords: Sequence[str]) -> Column:
@@ -113,32 +112,36 @@ def ngrams(
     address or a symbol run, when it ends in a stop word, or is all stop words.
     """
 
-    def admissible(gram: Column) -> Column:
-        def unfit(token: Column) -> Column:
-            test = token.rlike(EMOJI_PATTERN) | token.startswith("@") | token.startswith("#")
-            if remove_urls:
-                test = test | is_url(token)
-            if remove_punctuation:
-                test = test | is_punctuation(token)
-            return test
-
-        test = ~F.exists(gram, unfit)
-        if stopwords:
-            # a sequence of stop words only also ends in one
-            test = test & ~F.element_at(gram, -1).isin(*stopwords)
-        return test
-
-    def of_length(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1))).otherwise(
+    if not range(shortest, longest):
+        return F.array().cast("array<string>")
+    pattern = _unwanted_pattern(remove_urls, remove_punctuation)
+
+    def mark(token: Column) -> Column:
+        unfit = token.rlike(EMOJI_PATTERN) | token.startswith("@") | token.startswith("#")
+        if pattern is not None:
+            unfit = unfit | token.rlike(pattern)
+        stop = token.isin(*stopwords) if stopwords else F.lit(False)
+        return F.struct(token.alias("token"), unfit.alias("unfit"), stop.alias("stop"))
+
+    def of_length(marked: Column, n: int) -> Column:
+        count = F.size(marked)
+        starts = F.when(count >= n, F.sequence(F.lit(1), F.greatest(count - F.lit(n - 1), F.lit(1)))).otherwise(
             F.array().cast("array<int>")
         )
-        grams = F.transform(starts, lambda start: F.slice(tokens, start, F.lit(n)))
-        return F.transform(F.filter(grams, admissible), lambda gram: F.array_join(gram, " "))
+        grams = F.transform(starts, lambda start: F.slice(marked, start, F.lit(n)))
+        # a sequence of stop words only also ends in one
+        fit = F.filter(
+            grams, lambda gram: ~F.exists(gram, lambda w: w["unfit"]) & ~F.element_at(gram, -1)["stop"]
+        )
+        return F.transform(fit, lambda gram: F.array_join(F.transform(gram, lambda w: w["token"]), " "))
 
-    lengths = range(shortest, longest)
-    if not lengths:
-        return F.array().cast("array<string>")
-    return F.concat(*[of_length(n) for n in lengths])
+    # the one-element array binds the marked tokens to a name, so they are
+    # computed once and not once per sequence
+    bound = F.transform(
+        F.array(F.transform(tokens, mark)),
+        lambda marked: F.concat(*[of_length(marked, n) for n in range(shortest, longest)]),
+    )
+    return F.element_at(bound, 1)
 
 
 def tokenize(
@@ -155,8 +158,13 @@ def tokenize(
         text = deaccent(text)
     tokens = clean_tokens(raw_tokens(text, lower), remove_urls, remove_punctuation)
     if ngram_range is not None:
-        grams = ngrams(tokens, *ngram_range, stopwords, remove_urls, remove_punctuation)
-        tokens = F.concat(tokens, grams)
+        tokens = F.element_at(
+            F.transform(
+                F.array(tokens),
+                lambda words: F.concat(words, ngrams(words, *ngram_range, stopwords, remove_urls, remove_punctuation)),
+            ),
+            1,
+        )
     return drop_stopwords(tokens, stopwords)
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_GROUPS = ("ingest", "stream", "text", "days")
+_GROUPS = ("ingest", "stream", "text", "days", "experiment")
 
 
 def load_all() -> None:

@@ -10,28 +10,29 @@ from agorasift.operators import daily
 from agorasift.plans import views as V
 from agorasift.plans.registry import query
 
-DATE = F.col("date").cast("string").alias("date")
+def day_text():
+    return F.col("date").cast("string").alias("date")
 
 
 @query("unique_users", """
 SELECT user_id, CAST(date AS VARCHAR) AS date, arg_min(url, id) AS url, arg_min(lang, id) AS lang
 FROM posts GROUP BY user_id, date""", ["posts"])
 def unique_users(t):
-    return daily.unique_users(t.posts, ["url", "lang"]).select("user_id", DATE, "url", "lang")
+    return daily.unique_users(t.posts, ["url", "lang"]).select("user_id", day_text(), "url", "lang")
 
 
 @query("name_vocabulary", """
 SELECT CAST(date AS VARCHAR) AS date, token, count(*) AS frequency FROM (
   SELECT date, unnest(['customer', concat('#', substr(name, 10))]) AS token FROM profiles) GROUP BY 1, 2""", ["profiles"])
 def name_vocabulary(t):
-    return daily.token_frequency(t.profiles, T.tokenize(F.col("name")), ["date"]).select(DATE, "token", "frequency")
+    return daily.token_frequency(t.profiles, T.tokenize(F.col("name")), ["date"]).select(day_text(), "token", "frequency")
 
 
 @query("description_vocabulary", """
 SELECT CAST(date AS VARCHAR) AS date, token, count(*) AS frequency FROM profile_words GROUP BY 1, 2""", ["profile_words"])
 def description_vocabulary(t):
     words = daily.token_frequency(t.profiles, T.tokenize(F.col("description")), ["date"])
-    return words.select(DATE, "token", "frequency")
+    return words.select(day_text(), "token", "frequency")
 
 
 def _twice(posts):
@@ -42,7 +43,7 @@ def _twice(posts):
 @query("posts_per_user", """
 SELECT user_id, CAST(date AS VARCHAR) AS date, count(*) AS posts FROM posts GROUP BY user_id, date""", ["posts"])
 def posts_per_user(t):
-    return daily.posts_per_user(_twice(t.posts), ["user_id", "date"]).select("user_id", DATE, "posts")
+    return daily.posts_per_user(_twice(t.posts), ["user_id", "date"]).select("user_id", day_text(), "posts")
 
 
 @query("posts_list_per_user", """
@@ -81,7 +82,7 @@ SELECT {post}, {user}, count(*) AS frequency FROM posts WHERE {post} > 0 GROUP B
         query(f"{layer}_edges", f"""
 SELECT CAST(date AS VARCHAR) AS date, user_id AS src, {user} AS dst, count(*) AS weight FROM posts
 WHERE {user} > 0 GROUP BY 1, 2, 3""", ["posts"])(
-            lambda t, layer=layer: daily.interaction_edges(t.posts, layer, ["date"]).select(DATE, "src", "dst", "weight")
+            lambda t, layer=layer: daily.interaction_edges(t.posts, layer, ["date"]).select(day_text(), "src", "dst", "weight")
         )
 
 
@@ -98,7 +99,7 @@ def user_urls(t):
     links = F.split(
         F.concat(F.col("url"), F.lit("|https://bit.ly/"), F.col("id"), F.lit("|https://www."), F.col("lang"),
                  F.lit(".example.com:80/x")), r"\|")
-    return daily.user_domains(t.posts, links, ["user_id", "date"]).select("user_id", DATE, "domain", "frequency")
+    return daily.user_domains(t.posts, links, ["user_id", "date"]).select("user_id", day_text(), "domain", "frequency")
 
 
 @query("activity_counts", """
@@ -106,7 +107,7 @@ SELECT user_id, CAST(date AS VARCHAR) AS date, count(*) AS statuses_count, count
        count_if(quote_user_id <> 0) AS quotes_count, count_if(reply_user_id <> 0) AS replies_count
 FROM posts GROUP BY user_id, date""", ["posts"])
 def activity_counts(t):
-    return daily.activity_counts(t.posts, ["user_id", "date"]).drop("plain_count").withColumn("date", DATE)
+    return daily.activity_counts(t.posts, ["user_id", "date"]).drop("plain_count").withColumn("date", day_text())
 
 
 @query("plain_counts", """
@@ -114,7 +115,7 @@ SELECT user_id, CAST(date AS VARCHAR) AS date, count(*) AS plain_count FROM post
 WHERE rt_user_id = 0 AND quote_user_id = 0 AND reply_user_id = 0 GROUP BY user_id, date""", ["posts"])
 def plain_counts(t):
     counts = daily.activity_counts(t.posts, ["user_id", "date"])
-    return counts.where(F.col("plain_count") > 0).select("user_id", DATE, "plain_count")
+    return counts.where(F.col("plain_count") > 0).select("user_id", day_text(), "plain_count")
 
 
 _RECEIVED = """
@@ -127,7 +128,7 @@ SELECT date, user_id, count_if(layer = 'retweet') AS rts_received, count_if(laye
 
 @query("received_counts", f"SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM ({_RECEIVED})", ["posts"])
 def received_counts(t):
-    return daily.received_counts(t.posts, ["date"]).withColumn("date", DATE)
+    return daily.received_counts(t.posts, ["date"]).withColumn("date", day_text())
 
 
 @query("user_daily_stats", f"""
@@ -143,7 +144,7 @@ SELECT m.* REPLACE (CAST(m.date AS VARCHAR) AS date), coalesce(rts_received, 0)
 FROM made m LEFT JOIN received r ON r.user_id = m.user_id AND r.date = m.date
 JOIN profiles p ON p.user_id = m.user_id AND p.date = m.date""", ["posts", "profiles"])
 def user_daily_stats(t):
-    return daily.user_daily_stats(t.posts, t.profiles).withColumn("date", DATE)
+    return daily.user_daily_stats(t.posts, t.profiles).withColumn("date", day_text())
 
 
 @query("distinct_counts", """

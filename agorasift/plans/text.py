@@ -21,24 +21,25 @@ def _token_rows(df, tokens):
         "doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
-_RAW = f"""
+def _token_sql(keep: str = "true") -> str:
+    return f"""
 SELECT doc_id, count(*) AS n_tokens, md5(string_agg(token, ' ' ORDER BY pos)) AS tokens_md5 FROM (
   SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos
-  FROM (SELECT doc_id, regexp_extract_all(lower({{text}}), '{V.TOKEN_PATTERN}') AS tokens FROM documents))
-WHERE {{keep}} GROUP BY doc_id"""
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{V.TOKEN_PATTERN}') AS tokens FROM documents))
+WHERE {keep} GROUP BY doc_id"""
 
 
-@query("tokenize", _RAW.format(text="text", keep="true"))
+@query("tokenize", _token_sql())
 def tokenize(t):
     return _token_rows(t.documents, T.raw_tokens(F.col("text")))
 
 
-@query("clean_tokens", _RAW.format(text="text", keep=V.clean()))
+@query("clean_tokens", _token_sql(V.clean()))
 def clean_tokens(t):
     return _token_rows(t.documents, T.clean_tokens(T.raw_tokens(F.col("text"))))
 
 
-@query("stopword_filter", _RAW.format(text="text", keep=V.clean() + f" AND token NOT IN {V.STOPWORDS}"))
+@query("stopword_filter", _token_sql(V.clean() + f" AND token NOT IN {V.STOPWORDS}"))
 def stopword_filter(t):
     return _token_rows(t.documents, T.tokenize(F.col("text"), stopwords=t.stopwords))
 

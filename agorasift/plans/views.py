@@ -149,11 +149,42 @@ SELECT src, dst, CAST(sum(CASE WHEN layer = 'retweet' THEN weight ELSE 0 END) AS
        CAST(sum(CASE WHEN layer = 'quote' THEN weight ELSE 0 END) AS BIGINT) AS quote,
        CAST(sum(CASE WHEN layer = 'reply' THEN weight ELSE 0 END) AS BIGINT) AS reply,
        CAST(sum(weight) AS BIGINT) AS weight FROM edges GROUP BY 1, 2""",
+    "heavy": "SELECT src, dst FROM multiplex WHERE weight >= 2",
+    "reach": """
+SELECT src AS node, src AS label FROM heavy UNION SELECT dst, dst FROM heavy UNION
+SELECT h.b, r.label FROM reach r JOIN (SELECT src AS a, dst AS b FROM heavy UNION SELECT dst, src FROM heavy) h ON h.a = r.node""",
+    "components": "SELECT node, min(label) AS component FROM reach GROUP BY node",
+    "members": """
+SELECT node FROM components WHERE component = (
+  SELECT component FROM components GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)""",
+    "discussion": """
+SELECT node FROM (SELECT src AS node FROM heavy UNION ALL SELECT dst FROM heavy)
+WHERE node IN (SELECT node FROM members) GROUP BY node HAVING count(*) >= 2""",
+    "row_ids": """
+SELECT user_id, row_number() OVER (ORDER BY dataset_posts DESC, user_id) - 1 AS row_id FROM users
+WHERE user_id IN (SELECT node FROM discussion)""",
+    "post_vocab": f"""
+SELECT token, frequency, row_number() OVER (ORDER BY frequency DESC, token) - 1 AS token_id FROM (
+  SELECT token, CAST(sum(frequency) AS BIGINT) AS frequency FROM user_tokens WHERE token NOT IN {STOPWORDS}
+  GROUP BY token HAVING sum(frequency) >= 200)""",
+    "description_vocab": f"""
+SELECT token, frequency, row_number() OVER (ORDER BY frequency DESC, token) - 1 AS token_id FROM (
+  SELECT token, count(*) AS frequency FROM profile_words WHERE token NOT IN {STOPWORDS}
+  GROUP BY token HAVING count(*) >= 50)""",
+    "user_domains": f"""
+SELECT user_id, domain, count(*) AS frequency FROM (SELECT user_id, {HOST.format('url')} AS domain FROM posts)
+WHERE domain NOT IN {DISCARDED} GROUP BY 1, 2""",
+    "domain_vocab": """
+SELECT domain, frequency, row_number() OVER (ORDER BY frequency DESC, domain) - 1 AS token_id FROM (
+  SELECT domain, CAST(sum(frequency) AS BIGINT) AS frequency FROM user_domains GROUP BY 1 HAVING sum(frequency) >= 10)""",
 }
 
 _CHECK_INPUTS = {
     "post_words": ("doc_words",), "profile_words": ("doc_words",),
-    "user_tokens": ("post_words",), "multiplex": ("edges",),
+    "user_tokens": ("post_words",), "multiplex": ("edges",), "heavy": ("multiplex",), "reach": ("heavy",),
+    "components": ("reach",), "members": ("components",), "discussion": ("heavy", "members"),
+    "row_ids": ("users", "discussion"), "post_vocab": ("user_tokens",), "description_vocab": ("profile_words",),
+    "user_domains": ("posts",), "domain_vocab": ("user_domains",),
 }
 
 
@@ -175,8 +206,7 @@ def with_views(body: str, names: Sequence[str]) -> str:
         text = re.sub(r"[{}]", "", VIEWS[name].text) if name in VIEWS else CHECK_VIEWS[name]
         parts.append(f"{name} AS ({text.strip()})")
     own = re.match(r"\s*WITH(\s+RECURSIVE)?\s+", body)
-    recursive = "RECURSIVE " if own and own.group(1) else ""
     if not parts:
         return body.strip()
-    head = f"WITH {recursive}" + ",\n".join(parts)
+    head = "WITH RECURSIVE " + ",\n".join(parts)
     return f"{head},\n{body[own.end():].strip()}" if own else f"{head}\n{body.strip()}"
