@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_GROUPS = ("ingest", "stream", "text", "days", "experiment")
+_GROUPS = ("ingest", "stream", "text", "days", "experiment", "labels")
 
 
 def load_all() -> None:

@@ -76,6 +76,14 @@ GROUP BY CAST(ts AS DATE),
     "stopwords": View(_values("token", [(w,) for w in STOPWORDS])),
     "known_accounts": View(_values("user_id, class", [
         (1, "alpha"), (2, "alpha"), (3, "alpha"), (4, "beta"), (5, "beta")])),
+    # label rules: wanted and unwanted tokens per class and feature family
+    "rules": View(_values("class, family, kind, token", [
+        ("alpha", "description_token", "must_have", "the"), ("alpha", "description_token", "must_have", "that"),
+        ("alpha", "description_token", "cant_have", "und"), ("beta", "description_token", "must_have", "und"),
+        ("beta", "description_token", "must_have", "der"), ("beta", "description_token", "cant_have", "that"),
+        ("noise", "description_token", "must_have", "que"), ("alpha", "rt_target", "must_have", "7"),
+        ("beta", "rt_target", "must_have", "13"), ("beta", "rt_target", "cant_have", "7"),
+        ("noise", "domain", "must_have", "free-bets.example.com")])),
     # class probabilities, one row per user
     "scores": View("""
 SELECT user_id, dataset_posts, CAST(user_id * 37 % 100 AS DOUBLE) / 100 AS p_alpha,
@@ -171,6 +179,31 @@ SELECT token, frequency, row_number() OVER (ORDER BY frequency DESC, token) - 1
 SELECT token, frequency, row_number() OVER (ORDER BY frequency DESC, token) - 1 AS token_id FROM (
   SELECT token, count(*) AS frequency FROM profile_words WHERE token NOT IN {STOPWORDS}
   GROUP BY token HAVING count(*) >= 50)""",
+    "features": """
+SELECT w.user_id AS row_id, 'description_token' AS type, w.token, CAST(count(*) AS DOUBLE) AS value FROM profile_words w
+JOIN (SELECT user_id, max(date) AS date FROM profile_words GROUP BY 1) m ON m.user_id = w.user_id AND m.date = w.date
+GROUP BY 1, 2, 3
+UNION ALL SELECT user_id, 'domain', domain, CAST(frequency AS DOUBLE) FROM user_domains
+UNION ALL SELECT src, 'rt_target', CAST(dst AS VARCHAR), CAST(sum(weight) AS DOUBLE) FROM edges
+WHERE layer = 'retweet' GROUP BY 1, 2, 3""",
+    "family_labels": """
+SELECT f.row_id, r.family, r.class FROM features f JOIN rules r ON r.family = f.type AND r.token = f.token
+GROUP BY 1, 2, 3 HAVING count_if(r.kind = 'must_have') > 0 AND count_if(r.kind = 'cant_have') = 0""",
+    "votes": "SELECT row_id, class, count(*) AS votes FROM family_labels GROUP BY 1, 2",
+    "sure_votes": "SELECT * FROM votes WHERE row_id IN (SELECT row_id FROM votes GROUP BY 1 HAVING count(*) = 1)",
+    "tagged_votes": """
+SELECT row_id, class, votes FROM sure_votes WHERE row_id NOT IN (SELECT user_id FROM known_accounts)
+UNION ALL SELECT user_id, class, 1 FROM known_accounts WHERE user_id IN (SELECT user_id FROM users)""",
+    "model_features": """
+SELECT row_id, type, token, value FROM features
+WHERE (type, token) NOT IN (SELECT (family, token) FROM rules WHERE kind = 'must_have')
+UNION ALL SELECT e.src, 'rt_group', l.class, CAST(sum(e.weight) AS DOUBLE) FROM edges e
+JOIN tagged_votes l ON l.row_id = e.dst WHERE e.layer = 'retweet' GROUP BY 1, 2, 3""",
+    "dictionary": """
+SELECT type, token, matrix_sum, row_number() OVER (ORDER BY block, matrix_sum DESC, token) - 1 AS feature_id FROM (
+  SELECT type, token, sum(value) AS matrix_sum,
+         list_position(['domain', 'description_token', 'rt_target', 'rt_group'], type) AS block
+  FROM model_features GROUP BY type, token HAVING sum(value) > 0)""",
     "user_domains": f"""
 SELECT user_id, domain, count(*) AS frequency FROM (SELECT user_id, {HOST.format('url')} AS domain FROM posts)
 WHERE domain NOT IN {DISCARDED} GROUP BY 1, 2""",
@@ -184,6 +217,9 @@ _CHECK_INPUTS = {
     "user_tokens": ("post_words",), "multiplex": ("edges",), "heavy": ("multiplex",), "reach": ("heavy",),
     "components": ("reach",), "members": ("components",), "discussion": ("heavy", "members"),
     "row_ids": ("users", "discussion"), "post_vocab": ("user_tokens",), "description_vocab": ("profile_words",),
+    "features": ("profile_words", "user_domains", "edges"), "family_labels": ("features", "rules"),
+    "votes": ("family_labels",), "sure_votes": ("votes",), "tagged_votes": ("sure_votes", "known_accounts", "users"),
+    "model_features": ("features", "rules", "edges", "tagged_votes"), "dictionary": ("model_features",),
     "user_domains": ("posts",), "domain_vocab": ("user_domains",),
 }
 
