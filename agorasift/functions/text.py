@@ -188,21 +188,22 @@ def digit_count(text: Column) -> Column:
 def age_from_biography(text: Column) -> Column:
     """Age told by the first match; null below or above the accepted bounds."""
     low, high = AGE_BOUNDS
-    first = F.expr("cast(null as int)")
-    for group in (2, 1):
-        digits = F.regexp_extract(text, AGE_PATTERN, group)
-        number = F.when(digits != "", digits.try_cast("int"))
-        first = F.when(number >= low, number).otherwise(first)
-    return F.when(first.between(low, high), first)
+    found = F.array(*[F.regexp_extract(text, AGE_PATTERN, group) for group in (1, 2)])
+    numbers = F.filter(F.transform(found, lambda digits: digits.try_cast("int")), lambda n: n >= low)
+    return F.get(F.filter(F.slice(numbers, 1, 1), lambda n: n <= high), F.lit(0))
 
 
 def age_bin(age: Column, names: Sequence[str] | None = None) -> Column:
     """Right-closed age interval, as a name (default ``(low,high]``)."""
     names = names or [f"({low},{high}]" for low, high in AGE_BINS]
-    result = F.lit(None).cast("string")
-    for (low, high), name in zip(AGE_BINS, names):
-        result = F.when((age > low) & (age <= high), F.lit(name)).otherwise(result)
-    return result
+
+    def name_of(value: Column) -> Column:
+        result = F.lit(None).cast("string")
+        for (low, high), name in zip(AGE_BINS, names):
+            result = F.when((value > low) & (value <= high), F.lit(name)).otherwise(result)
+        return result
+
+    return F.get(F.transform(F.array(age), name_of), F.lit(0))
 
 
 def family_title(family: Column) -> Column:

@@ -47,7 +47,7 @@ def known_with_locations(known: DataFrame, hits: DataFrame) -> DataFrame:
 def age_labels(profiles: DataFrame, classes: Sequence[str], text: str = "description") -> DataFrame:
     """``(user_id, class)`` from the age told in the biography."""
     bins = T.age_bin(T.age_from_biography(F.coalesce(text, F.lit(""))), classes)
-    return profiles.select("user_id", bins.alias("class")).where(F.col("class").isNotNull())
+    return profiles.select("user_id", F.explode(F.array_compact(F.array(bins))).alias("class"))
 
 
 def rule_labels(features: DataFrame, rules: DataFrame, family: str) -> DataFrame:

@@ -94,6 +94,8 @@ SELECT s.user_id, s.dataset_posts, s.p_alpha, s.p_beta, k.class AS reported_labe
             WHEN greatest(s.p_alpha, s.p_beta) < 0.6 THEN 'undisclosed'
             WHEN s.p_alpha >= s.p_beta THEN 'alpha' ELSE 'beta' END AS predicted_class
 FROM {scores} s LEFT JOIN {known_accounts} k ON k.user_id = s.user_id"""),
+    "two_classes": View("""
+SELECT user_id, CASE WHEN p_alpha >= p_beta THEN 'alpha' ELSE 'beta' END AS predicted_class FROM {scores}"""),
     # a second grouping of the same users
     "ages": View("""
 SELECT user_id, CASE WHEN user_id % 13 = 0 THEN 'noise' WHEN user_id % 3 = 0 THEN 'young' ELSE 'old' END
