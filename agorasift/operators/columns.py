@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from agorasift.operators.ranking import hash_order, top_rows
+from agorasift.operators.ranking import exact_quantiles, hash_order, top_rows
 
 
 def select_prefix(df: DataFrame, prefix: str) -> DataFrame:
@@ -35,24 +35,20 @@ def zscore_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, deviation, minimum, exact quartiles and maximum per column.
-
-    Equal values are counted first, so the quartiles see one row per distinct
-    value.
-    """
+    """Count, mean, deviation, minimum, exact quartiles and maximum per column."""
     stacked = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns]))
         .alias("c")
     ).select("c.*").where(F.col("value").isNotNull())
-    levels = stacked.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
     moments = stacked.groupBy("name").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    quartiles = levels.groupBy("name").agg(
-        *[F.percentile("value", F.lit(q), F.col("n")).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]
+    quartiles = exact_quantiles(stacked, "value", (0.25, 0.5, 0.75), within=["name"])
+    wide = quartiles.groupBy("name").agg(
+        *[F.max(F.when(F.col("share") == q, F.col("value"))).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)]
     )
-    return moments.join(quartiles, "name")
+    return moments.join(wide, "name")
 
 
 def seeded_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:

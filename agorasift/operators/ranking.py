@@ -76,3 +76,26 @@ def distinct_level_quantile(df: DataFrame, column: str, share: float) -> float |
     """
     levels = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     return levels.agg(F.percentile(column, F.lit(share), F.col("_n")).alias("q")).first()["q"]
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], within: Sequence[str] = ()) -> DataFrame:
+    """Linear-interpolation quantiles per group: (group, share, value).
+
+    Values are ranked over all tasks, so a group of any size is never held in
+    one place; only the rows next to each position are kept.
+    """
+    within = list(within)
+    rows = df.select(*within, F.col(column).cast("double").alias("value")).where(F.col("value").isNotNull())
+    rows = rows.withColumn("_tie", F.monotonically_increasing_id())
+    ranked = durable(number_rows(rows, [F.col("value"), F.col("_tie")], "_at", within=within))
+    keys = within or ["_all"]
+    ranked = ranked if within else ranked.withColumn("_all", F.lit(0))
+    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = sizes.select(*keys, F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"), "_n")
+    place = F.col("share") * (F.col("_n") - 1)
+    wanted = wanted.select(*keys, "share", F.explode(F.array(
+        F.struct(F.floor(place).alias("_at"), (1 - (place - F.floor(place))).alias("_w")),
+        F.struct((F.floor(place) + 1).alias("_at"), (place - F.floor(place)).alias("_w")),
+    )).alias("p")).select(*keys, "share", "p.*").where(F.col("_w") > 0)
+    return wanted.join(ranked, [*keys, "_at"]).groupBy(*keys, "share").agg(
+        F.sum(F.col("value") * F.col("_w")).alias("value")).select(*within, "share", "value")

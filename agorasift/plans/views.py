@@ -117,6 +117,10 @@ SELECT event_id + 1 AS id, CAST((event_id + 1) * 7919 % 18000 AS DOUBLE) / 100 -
     "boxes": View(_values("name, lat0, lat1, lon0, lon1", [
         (f"r{i}{j}", -75 + 50 * i, -25 + 50 * i, -150 + 100 * j, -50 + 100 * j)
         for i in range(3) for j in range(3)])),
+    "emotion_lexicon": View(_values("token, label, weight", [
+        ("the", "joy", 0.02), ("that", "sadness", 0.05), ("was", "fear", 0.07), ("und", "anger", 0.03),
+        ("que", "joy", 0.04), ("le", "fear", 0.03), ("der", "sadness", 0.02), ("this", "anger", 0.06),
+        ("la", "joy", 0.01), ("from", "sadness", 0.08)]).replace("*", "token, label, CAST(weight AS DOUBLE) AS weight")),
 }
 
 # Views whose SQL differs between the engines are given for the check only; the
