@@ -8,32 +8,37 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from agorasift.operators import scores as S
-from agorasift.operators.durable import durable
+from agorasift.operators.durable import durable, scratch_path
 
 
 def sparse_vectors(cells: DataFrame, size: int, rows: DataFrame | None = None, row: str = "row_id",
                    column: str = "feature_id") -> DataFrame:
     """One sparse vector per row; rows of ``rows`` without a cell get an empty one.
 
-    A row's list is as long as its non-zero columns.
+    A row's list is as long as its non-zero columns.  The vectors are written
+    in the storage layout of the vector type and read back as vectors, which
+    keeps the whole step out of Python.
     """
     pairs = cells.groupBy(row).agg(
         F.sort_array(F.collect_list(F.struct(F.col(column).cast("int").alias("i"), F.col("value").cast("double").alias("v")))).alias("p")
     )
     if rows is not None:
-        pairs = rows.select(row).join(pairs, row, "left")
-
-    @F.udf(VectorUDT())
-    def build(entries):
-        entries = entries or []
-        return SparseVector(size, [e["i"] for e in entries], [e["v"] for e in entries])
-
-    return pairs.select(row, build("p").alias("features"))
+        pairs = rows.select(row).join(pairs, row, "left").withColumn(
+            "p", F.coalesce("p", F.array().cast("array<struct<i: int, v: double>>")))
+    stored = pairs.select(row, F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"),
+        F.transform("p", lambda e: e["i"]).alias("indices"), F.transform("p", lambda e: e["v"]).alias("values"),
+    ).alias("features"))
+    path = scratch_path(cells.sparkSession, "vectors")
+    stored.write.parquet(path)
+    schema = StructType([stored.schema[row], StructField("features", VectorUDT())])
+    return cells.sparkSession.read.schema(schema).parquet(path)
 
 
 @dataclass

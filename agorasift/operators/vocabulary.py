@@ -60,14 +60,14 @@ def term_matrix(
 ) -> DataFrame:
     """``(row_id, token_id, value)`` from (key, token, count) rows.
 
-    Counts of the same cell are summed before the joins, so each token meets
-    the vocabulary at most once per row key.
+    The joins come first: they leave the wanted columns and rows only, so the
+    one exchange for the sums carries just the cells of the matrix.
     """
-    cells = counts.groupBy(key, column).agg(F.sum(value).alias("value"))
     return (
-        cells.join(vocabulary.select(column, "token_id"), column)
+        counts.select(key, column, value)
+        .join(vocabulary.select(column, "token_id"), column)
         .join(rows.select(key, "row_id"), key)
-        .select("row_id", "token_id", "value")
+        .groupBy("row_id", "token_id").agg(F.sum(value).alias("value"))
     )
 
 

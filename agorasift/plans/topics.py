@@ -71,7 +71,7 @@ def fitted_lda(t):
     terms = durable(number_rows(vocabulary.select("token", "token_id"), [F.col("token_id")], "term_id"))
     cells = durable(matrix.join(terms.select("token_id", "term_id"), "token_id"))
     size = terms.count()
-    vectors = durable(X.sparse_vectors(cells, size, column="term_id"))
+    vectors = X.sparse_vectors(cells, size, column="term_id")
     chosen = vectors.join(users.select("row_id"), "row_id", "left_semi")
     return X.fit_lda(chosen, TOPICS, rounds=10, concentration=X.asymmetric_concentration(TOPICS), sample=0.5), vectors, terms
 
@@ -241,7 +241,7 @@ def lda_places(t):
     size = terms.count()
     ids = terms.select("token", "token_id")
     vectors = lambda c, row: X.sparse_vectors(c.join(ids, "token"), size, row=row, column="token_id")
-    model = X.fit_lda(durable(vectors(cells, "doc_id")), TOPICS, rounds=10, seed=42, sample=0.5)
+    model = X.fit_lda(vectors(cells, "doc_id"), TOPICS, rounds=10, seed=42, sample=0.5)
     return X.lda_doc_topics(model, vectors(weighted, "name"), row="name", least=0.0)
 
 

@@ -16,6 +16,8 @@ BASE_TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+FACT_TABLES = ("events", "documents")
+
 # Fixed values used by the example rules.
 STOPWORDS = ("of", "and", "by", "in", "un", "en")
 
