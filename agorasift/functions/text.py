@@ -131,15 +131,19 @@ def ngrams(
 
     def of_length(marked: Column, n: int) -> Column:
         count = F.size(marked)
-        starts = F.when(count >= n, F.sequence(F.lit(1), F.greatest(count - F.lit(n - 1), F.lit(1)))).otherwise(
+        starts = F.when(count >= n, F.sequence(F.lit(0), F.greatest(count - F.lit(n), F.lit(0)))).otherwise(
             F.array().cast("array<int>")
         )
-        grams = F.transform(starts, lambda start: F.slice(marked, start, F.lit(n)))
-        # a sequence of stop words only also ends in one
-        fit = F.filter(
-            grams, lambda gram: ~F.exists(gram, lambda w: w["unfit"]) & ~F.element_at(gram, -1)["stop"]
-        )
-        return F.transform(fit, lambda gram: F.array_join(F.transform(gram, lambda w: w["token"]), " "))
+
+        def gram(start: Column) -> Column:
+            words = [F.get(marked, start + i) for i in range(n)]
+            # a sequence of stop words only also ends in one
+            fit = ~words[-1]["stop"]
+            for word in words:
+                fit = fit & ~word["unfit"]
+            return F.when(fit, F.concat_ws(" ", *[word["token"] for word in words]))
+
+        return F.array_compact(F.transform(starts, gram))
 
     # the one-element array binds the marked tokens to a name, so they are
     # computed once and not once per sequence

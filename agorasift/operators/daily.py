@@ -114,14 +114,33 @@ def received_counts(posts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def user_daily_stats(posts: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Per user and day: posts made, reactions received, profile counters."""
-    posts = posts.select("id", "date", "user_id", *[u for _, u in LAYERS.values()]).dropDuplicates(["id"])
-    made = activity_counts(posts, ["user_id", "date"])
-    received = received_counts(posts, ["date"])
+    """Per user and day: posts made, reactions received, profile counters.
+
+    Each post becomes one row for its author and one for each account it
+    reacts to, so both sides are counted in one pass and one exchange.
+    """
+    unique = posts.select("id", "date", "user_id", *[u for _, u in LAYERS.values()]).dropDuplicates(["id"])
+    plain = ~_made("retweet") & ~_made("quote") & ~_made("reply")
+    author = F.struct(F.lit("author").alias("role"), "user_id", *[_made(k).alias(k) for k in LAYERS], plain.alias("plain"))
+    targets = [
+        F.struct(F.lit(layer).alias("role"), F.col(user).alias("user_id"),
+                 *[F.lit(False).alias(k) for k in (*LAYERS, "plain")])
+        for layer, (_, user) in LAYERS.items()
+    ]
+    rows = unique.select("date", F.explode(F.array(author, *targets)).alias("r")).select("date", "r.*")
+    counts = rows.where(F.col("user_id") > 0).groupBy("user_id", "date").agg(
+        F.count_if(F.col("role") == "author").alias("statuses_count"),
+        F.count_if(F.col("retweet")).alias("rts_count"),
+        F.count_if(F.col("quote")).alias("quotes_count"),
+        F.count_if(F.col("reply")).alias("replies_count"),
+        F.count_if(F.col("plain")).alias("plain_count"),
+        F.count_if(F.col("role") == "retweet").alias("rts_received"),
+        F.count_if(F.col("role") == "quote").alias("quotes_received"),
+        F.count_if(F.col("role") == "reply").alias("replies_received"),
+    )
     counters = profiles.select("user_id", "date", "followers_count", "friends_count",
                                F.col("statuses_count").alias("profile_statuses_count"))
-    joined = made.join(received, ["user_id", "date"], "left").na.fill(0)
-    return joined.join(counters, ["user_id", "date"])
+    return counts.where(F.col("statuses_count") > 0).join(counters, ["user_id", "date"])
 
 
 def distinct_counts(df: DataFrame, **columns: str) -> DataFrame:

@@ -16,17 +16,18 @@ from agorasift.plans.registry import query
 
 def _token_rows(df, tokens):
     """Size and digest of each token list, so whole lists are compared."""
-    rows = df.select("doc_id", tokens.alias("t")).where(F.size("t") > 0)
-    return rows.select(
+    return df.select("doc_id", tokens.alias("t")).select(
         "doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
 def _token_sql(keep: str = "true") -> str:
     return f"""
-SELECT doc_id, count(*) AS n_tokens, md5(string_agg(token, ' ' ORDER BY pos)) AS tokens_md5 FROM (
-  SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos
-  FROM (SELECT doc_id, regexp_extract_all(lower(text), '{V.TOKEN_PATTERN}') AS tokens FROM documents))
-WHERE {keep} GROUP BY doc_id"""
+SELECT d.doc_id, count(token) AS n_tokens, md5(coalesce(string_agg(token, ' ' ORDER BY pos), '')) AS tokens_md5
+FROM documents d LEFT JOIN (
+  SELECT * FROM (
+    SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos
+    FROM (SELECT doc_id, regexp_extract_all(lower(text), '{V.TOKEN_PATTERN}') AS tokens FROM documents))
+  WHERE {keep}) w ON w.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
 @query("tokenize", _token_sql())
@@ -63,12 +64,13 @@ grams AS (
   SELECT doc_id, concat(a, ' ', b, ' ', c) FROM follow
   WHERE c IS NOT NULL AND c NOT IN {V.STOPWORDS}
     AND {_PLAIN_WORD.format('a')} AND {_PLAIN_WORD.format('b')} AND {_PLAIN_WORD.format('c')})
-SELECT doc_id, count(*) AS n_grams, md5(string_agg(gram, '|' ORDER BY gram)) AS grams_md5 FROM grams GROUP BY doc_id""",
+SELECT d.doc_id, count(gram) AS n_grams, md5(coalesce(string_agg(gram, '|' ORDER BY gram), '')) AS grams_md5
+FROM documents d LEFT JOIN grams g ON g.doc_id = d.doc_id GROUP BY d.doc_id""",
        ["doc_words"])
 def ngrams(t):
     tokens = T.tokenize(F.col("text"))
     words = t.documents.select("doc_id", tokens.alias("t"))
-    grams = words.select("doc_id", F.sort_array(T.ngrams(F.col("t"), 2, 4, t.stopwords)).alias("g")).where(F.size("g") > 0)
+    grams = words.select("doc_id", F.sort_array(T.ngrams(F.col("t"), 2, 4, t.stopwords)).alias("g"))
     return grams.select("doc_id", F.size("g").cast("long").alias("n_grams"), F.md5(F.array_join("g", "|")).alias("grams_md5"))
 
 
