@@ -39,12 +39,11 @@ def user_day_tokens(t):
 
 def topic_parts(t):
     words = user_day_tokens(t)
-    tokens = words.groupBy("user_id", "token").agg(F.sum("frequency").alias("frequency"))
-    vocabulary = durable(post_vocabulary(t, tokens))
+    vocabulary = durable(post_vocabulary(t, words))
     frequencies = consolidate.word_frequencies(words, t.predictions, "stance")
     chosen = durable(X.topic_vocabulary(vocabulary, frequencies, MIN_USERS, USERS_SHARE))
     rows = t.users.select("user_id", F.col("user_id").alias("row_id"), "dataset_posts")
-    return W.term_matrix(tokens, vocabulary, rows), X.topic_users(rows, 1, POSTS_SHARE), chosen
+    return W.term_matrix(words, vocabulary, rows), X.topic_users(rows, 1, POSTS_SHARE), chosen
 
 
 @query("topic_vocabulary", f"WITH {_TOPIC} SELECT token, token_id, n_users FROM topic_vocab", _TOPIC_VIEWS)
