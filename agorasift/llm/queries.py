@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agorasift.llm import chat, line_dedup, mixing
+from agorasift.llm import chat, decontaminate, line_dedup, mixing, secrets, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,40 @@ def line_dedup_query(spark: SparkSession, root: str) -> DataFrame:
     kept = line_dedup.drop_shared_lines(table(spark, root, "documents").select("doc_id", "text"))
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
     return kept.select("doc_id", "n_lines", "n_dropped", digest)
+
+
+@query("op2_simhash_dedup")
+def simhash_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    groups = simhash.near_duplicates(table(spark, root, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op3_decontaminate")
+def decontaminate_query(spark: SparkSession, root: str) -> DataFrame:
+    """Words of every document that stand in a window of a benchmark item."""
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    found = decontaminate.find_windows(docs, table(spark, root, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", decontaminate.n_hit("hits").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"))
+
+
+@query("op9_secret_scan")
+def secret_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secrets.scan(table(spark, root, "documents").select("doc_id", "text"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.filter("found", lambda s: s["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.BASE]
+    base = F.filter("found", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told("found").alias("spans"))
+
+
+@query("op10_suffix_dedup")
+def suffix_dedup_query(spark: SparkSession, root: str) -> DataFrame:
+    """All documents without byte strings of 400 that stand elsewhere too."""
+    cut = suffix_dedup.drop_repeated(table(spark, root, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

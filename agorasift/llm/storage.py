@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from agorasift.operators.durable import scratch_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as Parquet to the shared folder and go on from there.
@@ -16,10 +18,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As ``stored``; also the path, for ``discard``."""
+    """As ``stored``; also the path, for ``discard``.
+
+    What the write shuffled is not needed again, so Spark is asked to remove
+    those files when it ends instead of when the driver's garbage is collected.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
