@@ -1 +1,8 @@
 """Operators that prepare text collections for training language models."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions sent to tasks carry their code, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from agorasift.llm.storage import row_key, stored
+from agorasift.llm.storage import fresh, row_key, stored
 from agorasift.operators.ranking import number_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,3 +88,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most_epochs: int =
     placed = placed.withColumn("at", at)
     taken = passes * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - F.col("at")))
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "k1", "k2")
+
+
+def mixture(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most_epochs: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that a mixture takes, with size, source_size, target and taken.
+
+    Rows of which no word is taken go.  A size of zero has nothing to take and
+    goes too.  Rows equal in id and text share what was taken of them: each
+    gets the largest.  Clashing names get a leading underscore.
+    """
+    k1, k2, *names = fresh(docs, "k1", "k2", "size", "source_size", "target", "taken")
+    taken = mix(docs, weights, most_epochs, seed).where("taken > 0").groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(
+        F.max(F.struct("taken", "size", "source_size", "target")).alias("got"))
+    taken = stored(taken.select(k1, k2, *[F.col(f"got.{n.lstrip('_')}").alias(n) for n in names]), "taken")
+    first, second = row_key(F.col("doc_id"), F.col("text"))
+    return docs.withColumns({k1: first, k2: second}).join(taken, [k1, k2]).select(*docs.columns, *names)

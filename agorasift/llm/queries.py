@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agorasift.llm import chat, decontaminate, line_dedup, mixing, secrets, simhash, suffix_dedup
+from agorasift.llm import (
+    chat, decontaminate, language, line_dedup, mixing, quality_gam, quality_rules, secrets, simhash, suffix_dedup, textstats,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -183,3 +185,29 @@ def suffix_dedup_query(spark: SparkSession, root: str) -> DataFrame:
     """All documents without byte strings of 400 that stand elsewhere too."""
     cut = suffix_dedup.drop_repeated(table(spark, root, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_language_id")
+def language_id(spark: SparkSession, root: str) -> DataFrame:
+    """Language of every document, from its text and the page that shows it."""
+    docs = table(spark, root, "documents")
+    evidence = language.page_evidence(table(spark, root, "pages"))
+    found = language.identify(docs, evidence, language.train(docs))
+    return found.select("doc_id", "lang", "probability", "accepted", "text_lang", "declared", "host")
+
+
+@query("op6_quality_gam")
+def quality_score(spark: SparkSession, root: str) -> DataFrame:
+    """Quality score of every document by an additive model of its text."""
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    model = quality_gam.train(docs, table(spark, root, "labels"))
+    scored = quality_gam.score(docs, model)
+    return scored.select("doc_id", textstats.held_out().alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+@query("op7_quality_rules")
+def quality_rules_query(spark: SparkSession, root: str) -> DataFrame:
+    """Base counts of every document and the verdict of learned rules."""
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return quality_rules.judge(docs, quality_rules.train(docs, table(spark, root, "labels")))
