@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from agorasift.operators.ranking import hash_order, top_rows
 from agorasift.sources.days import experiment_slice
@@ -29,8 +29,8 @@ def weak_candidates(pool: DataFrame, score: str, low: float = 0.55, high: float
     """A sample of the most active users with a middling score; empty when too few."""
     weak = pool.where(F.col(score).between(low, high))
     active = top_rows(weak, most_active, [F.desc("dataset_posts"), F.asc("user_id")])
-    if active.limit(least).count() < least:
-        return active.limit(0)
+    enough = F.count(F.lit(1)).over(Window.partitionBy()) >= least  # over the most active alone
+    active = active.withColumn("_enough", enough).where("_enough").drop("_enough")
     return top_rows(active, n, [hash_order("user_id", seed=seed), F.asc("user_id")])
 
 

@@ -196,3 +196,9 @@ def isolation_scores(features: DataFrame, trees: int = 100, sample: int = 1000,
 def anomaly_labels(scored: DataFrame) -> DataFrame:
     """``anomalous`` below zero, else ``normal``."""
     return scored.withColumn("anomaly_label", F.when(F.col("score") < 0, "anomalous").otherwise("normal"))
+
+
+def label_shares(labelled: DataFrame, group: str) -> DataFrame:
+    """Rows of each anomaly label in each group, and their share of the group."""
+    counts = labelled.groupBy(group, "anomaly_label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group)))

@@ -16,18 +16,18 @@ def _both_ways(edges: DataFrame) -> DataFrame:
         pairs.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def label_propagation(edges: DataFrame) -> DataFrame:
     """``(node, community)``: each node takes the heaviest label around it.
 
     Ties go to the smaller label, and only half of the nodes (by hash,
     alternating) move in a round, which stops neighbours from swapping labels
-    for ever.
+    for ever.  Rounds go on until neither half has anything to change.
     """
     links = durable(_both_ways(edges))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst"))).distinct()
     labels = durable(nodes.withColumn("community", F.col("node")))
-    unmoved = 0
-    for turn in range(rounds):
+    unmoved = turn = 0
+    while unmoved < 2:
         heard = links.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy("src", "community").agg(
             F.sum("weight").alias("weight"))
         best = heard.groupBy(F.col("src").alias("node")).agg(
@@ -36,9 +36,7 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
         after = durable(labels.join(best, "node", "left").select(
             "node", F.when(moves, F.coalesce("heard", "community")).otherwise(F.col("community")).alias("community")))
         unmoved = unmoved + 1 if after.join(labels, ["node", "community"], "left_anti").isEmpty() else 0
-        labels = after
-        if unmoved == 2:  # neither half has anything to change
-            break
+        labels, turn = after, turn + 1
     return labels
 
 
@@ -80,18 +78,18 @@ def _merge_once(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool]:
     return durable(merged), True
 
 
-def communities(edges: DataFrame, rounds: int = 10, levels: int = 10) -> DataFrame:
+def communities(edges: DataFrame) -> DataFrame:
     """Hierarchy of communities: ``(node, level, community)``.
 
     Level 0 comes from label propagation (Raghavan et al., 2007); each next
     level merges pairs of communities while modularity grows (after Blondel et
-    al., 2008).
+    al., 2008), until no pair gains.  Each level has fewer communities.
     """
-    labels = label_propagation(edges, rounds)
+    labels, level, changed = label_propagation(edges), 0, True
     result = labels.withColumn("level", F.lit(0))
-    for level in range(1, levels + 1):
+    while changed:
         labels, changed = _merge_once(edges, labels)
-        if not changed:
-            break
-        result = result.unionByName(labels.withColumn("level", F.lit(level)))
+        level += 1
+        if changed:
+            result = result.unionByName(labels.withColumn("level", F.lit(level)))
     return result

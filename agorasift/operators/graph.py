@@ -32,14 +32,14 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
 def _point_low(pairs: DataFrame) -> DataFrame:
     """Larger neighbours of each node move to the smallest node around it."""
     both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+    low = durable(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
     moved = pairs.join(low, "v").select("u", F.col("m").alias("v"))
     return moved.where(F.col("u") != F.col("v")).distinct()
 
 
 def _gather_low(pairs: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of these."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    low = durable(pairs.groupBy("u").agg(F.min("v").alias("m")))
     moved = pairs.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where(F.col("u") != F.col("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
 

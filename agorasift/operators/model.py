@@ -148,14 +148,17 @@ class BoostedClassifier:
             self.selector.write().overwrite().save(f"{path}/selector")
 
 
-def classify(features: DataFrame, labels: DataFrame, classifier: BoostedClassifier, allowed: Sequence[int] = (),
-             assigned: str = "undisclosed", offset: float = 0.1) -> DataFrame:
-    """Fit, predict, then apply threshold, known labels and allowed accounts."""
+def classify(features: DataFrame, labels: DataFrame, classifier: BoostedClassifier, users: DataFrame,
+             allowed: Sequence[int] = (), assigned: str = "undisclosed", offset: float = 0.1) -> DataFrame:
+    """Fit, predict, then apply threshold, known labels and allowed accounts.
+
+    ``users`` maps row_id to user_id; the allowed accounts are user ids.
+    """
     df = durable(features.join(labels.select("row_id", "label"), "row_id", "left"))
     classifier.fit(df)
     columns = {f"p_{i}": c for i, c in enumerate(classifier.classes)}
-    predicted = classifier.predict(df).drop("features").withColumnRenamed("label", "reported_label").withColumn(
-        "user_id", F.col("row_id"))
+    predicted = classifier.predict(df).drop("features").withColumnRenamed("label", "reported_label").join(
+        users.select("row_id", "user_id"), "row_id")
     predicted = S.preserve_labels(S.threshold_class(predicted, columns, offset))
     return S.allow_accounts(predicted, allowed, assigned)
 

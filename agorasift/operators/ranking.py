@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import floor
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -35,8 +37,11 @@ def number_rows(
     shifts = sizes.select(
         *within, "_slice", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
+    # null-safe, so that rows of the null group keep their place
+    shifts = shifts.select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(within)], F.col("_slice").alias("_in"), "_shift")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(within)], F.col("_slice") == F.col("_in"))
     position = F.col("_at") + F.col("_shift") + F.lit(start)
-    return placed.join(shifts, [*within, "_slice"]).select(*df.columns, position.cast("long").alias(name))
+    return placed.join(shifts, same).select(*df.columns, position.cast("long").alias(name))
 
 
 def top_rows(df: DataFrame, k: int, order: Sequence[Column], within: Sequence[str] = ()) -> DataFrame:
@@ -72,10 +77,27 @@ def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
 def distinct_level_quantile(df: DataFrame, column: str, share: float) -> float | None:
     """Linear-interpolation quantile, taken over (value, count) pairs.
 
-    Equal values are counted first, so the final step sees one row per level.
+    Equal values are counted first; the levels are range-sorted over all tasks
+    and get running totals slice by slice, so no task holds all of them.  Only
+    the one or two levels at the wanted position reach the driver.
     """
-    levels = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    return levels.agg(F.percentile(column, F.lit(share), F.col("_n")).alias("q")).first()["q"]
+    levels = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_level")).agg(F.count(F.lit(1)).alias("_n"))
+    levels = durable(levels.repartitionByRange("_level").sortWithinPartitions("_level").withColumn(
+        "_slice", F.shiftright(F.monotonically_increasing_id(), _SLICE_BITS)))
+    sizes = levels.groupBy("_slice").agg(F.sum("_n").alias("_size"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    total = levels.agg(F.sum("_n")).first()[0]
+    if not total:
+        return None
+    place = share * (total - 1)
+    inside = Window.partitionBy("_slice").orderBy("_level")
+    ends = F.sum("_n").over(inside) + F.col("_before")
+    found = levels.join(sizes, "_slice").select("_level", (ends - F.col("_n")).alias("_first"), ends.alias("_end"))
+    low, high = floor(place), min(floor(place) + 1, total - 1)
+    rows = found.where((F.col("_first") <= high) & (F.col("_end") > low)).collect()
+    value = lambda at: next(float(r["_level"]) for r in rows if r["_first"] <= at < r["_end"])
+    return value(low) + (place - low) * (value(high) - value(low))
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], within: Sequence[str] = ()) -> DataFrame:

@@ -216,16 +216,17 @@ def anomaly_features(t):
 
 @query("anomaly_scores")
 def anomaly_scores(t):
-    return N.anomaly_labels(N.isolation_scores(durable(features(t, components=True)), trees=50, sample=256)).select(
+    return N.anomaly_labels(N.isolation_scores(durable(features(t, components=True)))).select(
         "user_id", "score", "anomaly_label")
 
 
 @query("anomaly_labels", """
-SELECT predicted_class, CASE WHEN p_alpha - 0.25 < 0 THEN 'anomalous' ELSE 'normal' END AS anomaly_label, count(*) AS n
-FROM predictions GROUP BY 1, 2""", ["predictions"])
+SELECT *, round(n / sum(n) OVER (PARTITION BY predicted_class), 6) AS share FROM (
+  SELECT predicted_class, CASE WHEN p_alpha - 0.25 < 0 THEN 'anomalous' ELSE 'normal' END AS anomaly_label, count(*) AS n
+  FROM predictions GROUP BY 1, 2)""", ["predictions"])
 def anomaly_labels(t):
     scored = t.predictions.withColumn("score", F.col("p_alpha") - 0.25)
-    return N.anomaly_labels(scored).groupBy("predicted_class", "anomaly_label").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(N.label_shares(N.anomaly_labels(scored), "predicted_class"))
 
 
 @query("induced_edges", f"""

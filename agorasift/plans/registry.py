@@ -13,12 +13,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a part of a small file; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 class Tables:
     """The given tables and the views over them, loaded when first used."""
 
@@ -29,7 +23,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in V.BASE_TABLES:
             df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
-            df = spread(df) if name in V.FACT_TABLES else df
         elif name in V.VIEWS:
             view = V.VIEWS[name]
             df = self.spark.sql(view.text, **{n: getattr(self, n) for n in view.inputs})

@@ -95,10 +95,6 @@ def label_min_probability(t):
     return labelled.select("user_id", F.round("max_probability", 6).alias("max_probability"), "label", "source")
 
 
-def cells_by_name(t):
-    return user_features(t).where(F.col("type") != "rt_target")
-
-
 @query("group_vectors", """
 SELECT p.predicted_class, f.type, f.token, sum(f.value) AS value FROM features f
 JOIN predictions p ON p.user_id = f.row_id GROUP BY 1, 2, 3""", ["features", "predictions"])
@@ -257,8 +253,8 @@ def unlabeled_pool(t):
 SELECT user_id, dataset_posts FROM users WHERE CAST(user_id AS VARCHAR) IN (SELECT token FROM features WHERE type = 'rt_target')""",
        ["features", "users"])
 def feature_accounts(t):
-    shown = S.model_features(associations(t), importances(t), screen_names(t), relevant_only=False)
-    return A.feature_accounts(t.users, shown)
+    targets = user_features(t).where(F.col("type") == "rt_target").select("token").distinct()
+    return A.feature_accounts(t.users, targets.select(F.lit("RT").alias("type"), F.concat(F.lit("RT:"), "token").alias("label")))
 
 
 @query("weak_candidates", f"""
@@ -322,7 +318,8 @@ def small_classifier():
 @query("classifier_predictions")
 def classifier_predictions(t):
     vectors, labels, _ = training_rows(t)
-    return M.classify(vectors, labels, small_classifier(), ALLOWED).select("user_id", "p_0", "p_1", "reported_label", "predicted_class")
+    users = t.users.select(F.col("user_id").alias("row_id"), "user_id")
+    return M.classify(vectors, labels, small_classifier(), users, ALLOWED).select("user_id", "p_0", "p_1", "reported_label", "predicted_class")
 
 
 @query("calibrated_predictions")

@@ -14,7 +14,7 @@ from agorasift.operators import topics as X
 from agorasift.operators import vocabulary as W
 from agorasift.operators.durable import durable
 from agorasift.operators.ranking import number_rows
-from agorasift.plans.analysis import rounded
+from agorasift.plans.analysis import _BASE, _CONSOLIDATED, consolidated, rounded
 from agorasift.plans.days import user_tokens
 from agorasift.plans.experiment import post_vocabulary
 from agorasift.plans.registry import query
@@ -22,15 +22,15 @@ from agorasift.plans.registry import query
 MIN_USERS, USERS_SHARE, POSTS_SHARE = 5, 0.9, 0.95
 TOPICS = 8
 
-_TOPIC = f"""
+_TOPIC = f"""{_CONSOLIDATED},
 reached AS (SELECT token, CAST(sum(n) AS BIGINT) AS n_users FROM (
   SELECT p.predicted_class, w.token, w.date, count(DISTINCT w.user_id) AS n FROM post_words w
   JOIN predictions p ON p.user_id = w.user_id AND p.predicted_class <> 'noise' GROUP BY 1, 2, 3) GROUP BY 1),
 known AS (SELECT v.token, v.token_id, r.n_users FROM post_vocab v JOIN reached r ON r.token = v.token),
 topic_vocab AS (SELECT * FROM known WHERE n_users BETWEEN {MIN_USERS} AND (SELECT quantile_cont(n_users, {USERS_SHARE}) FROM known)),
-topic_rows AS (SELECT user_id, user_id AS row_id, dataset_posts FROM users WHERE dataset_posts BETWEEN 1 AND
-  (SELECT quantile_cont(dataset_posts, {POSTS_SHARE}) FROM users))"""
-_TOPIC_VIEWS = ["post_words", "predictions", "post_vocab", "users", "user_tokens"]
+topic_rows AS (SELECT user_id, user_id AS row_id, dataset_posts FROM consolidated WHERE dataset_posts BETWEEN 1 AND
+  (SELECT quantile_cont(dataset_posts, {POSTS_SHARE}) FROM consolidated))"""
+_TOPIC_VIEWS = list(dict.fromkeys([*_BASE, "post_words", "predictions", "post_vocab", "users", "user_tokens"]))
 
 
 def user_day_tokens(t):
@@ -42,8 +42,13 @@ def topic_parts(t):
     vocabulary = durable(post_vocabulary(t, words))
     frequencies = consolidate.word_frequencies(words, t.predictions, "stance")
     chosen = durable(X.topic_vocabulary(vocabulary, frequencies, MIN_USERS, USERS_SHARE))
-    rows = t.users.select("user_id", F.col("user_id").alias("row_id"), "dataset_posts")
-    return W.term_matrix(words, vocabulary, rows), X.topic_users(rows, 1, POSTS_SHARE), chosen
+    rows = durable(chosen_users(t))
+    return W.term_matrix(words, chosen, rows), rows, chosen
+
+
+def chosen_users(t):
+    users = durable(consolidated(t).select("user_id", F.col("user_id").alias("row_id"), "dataset_posts"))
+    return X.topic_users(users, 1, POSTS_SHARE)
 
 
 @query("topic_vocabulary", f"WITH {_TOPIC} SELECT token, token_id, n_users FROM topic_vocab", _TOPIC_VIEWS)
@@ -53,7 +58,7 @@ def topic_vocabulary(t):
 
 @query("topic_users", f"WITH {_TOPIC} SELECT user_id, dataset_posts FROM topic_rows", _TOPIC_VIEWS)
 def topic_users(t):
-    return X.topic_users(t.users, 1, POSTS_SHARE)
+    return chosen_users(t).select("user_id", "dataset_posts")
 
 
 @query("topic_matrix", f"""
@@ -66,13 +71,12 @@ def topic_matrix(t):
 
 
 def fitted_lda(t):
-    matrix, users, vocabulary = topic_parts(t)
+    matrix, _, vocabulary = topic_parts(t)
     terms = durable(number_rows(vocabulary.select("token", "token_id"), [F.col("token_id")], "term_id"))
     cells = durable(matrix.join(terms.select("token_id", "term_id"), "token_id"))
     size = terms.count()
     vectors = X.sparse_vectors(cells, size, column="term_id")
-    chosen = vectors.join(users.select("row_id"), "row_id", "left_semi")
-    return X.fit_lda(chosen, TOPICS, rounds=10, concentration=X.asymmetric_concentration(TOPICS), sample=0.5), vectors, terms
+    return X.fit_lda(vectors, TOPICS, concentration=X.asymmetric_concentration(TOPICS)), vectors, terms
 
 
 @query("lda_topics")
@@ -213,17 +217,17 @@ def place_top_terms(t):
     return P.place_top_terms(weighted).withColumn("value", F.round("value", 5))
 
 
-def fitted_nmf(t, rounds=10):
+def fitted_nmf(t):
     weighted, cells = weighted_places(t)
     posts = L.tfidf(cells, row="doc_id", column="token")
-    w, h = X.fit_nmf(posts, TOPICS, rounds, row="doc_id", column="token")
+    w, h = X.fit_nmf(posts, TOPICS, row="doc_id", column="token")
     return weighted, h
 
 
 @query("nmf_topics")
 def nmf_topics(t):
     weighted, h = fitted_nmf(t)
-    w = X.nmf_transform(weighted, h, TOPICS, rounds=10, row="name", column="token")
+    w = X.nmf_transform(weighted, h, TOPICS, row="name", column="token")
     return X.factor_shares(w, "name", "w", TOPICS)
 
 
@@ -235,13 +239,14 @@ def topic_labels(t):
 
 @query("lda_places")
 def lda_places(t):
-    weighted, cells = weighted_places(t)
+    cells = durable(document_cells(t))
     terms = durable(W.with_token_ids(cells.groupBy("token").agg(F.sum("value").alias("frequency"))))
     size = terms.count()
     ids = terms.select("token", "token_id")
     vectors = lambda c, row: X.sparse_vectors(c.join(ids, "token"), size, row=row, column="token_id")
-    model = X.fit_lda(vectors(cells, "doc_id"), TOPICS, rounds=10, seed=42, sample=0.5)
-    return X.lda_doc_topics(model, vectors(weighted, "name"), row="name", least=0.0)
+    model = X.fit_lda(vectors(cells, "doc_id"), TOPICS, seed=42)
+    counts = cells.join(document_places(t), "doc_id").groupBy("name", "token").agg(F.sum("value").alias("value"))
+    return X.lda_doc_topics(model, vectors(counts, "name"), row="name", least=0.0)
 
 
 _EMOTION = """

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
 from agorasift.functions import dates as D
 
@@ -35,10 +34,10 @@ def experiment_slice(df: DataFrame, start: str | None, end: str | None, column:
 
 def known_days(spark: SparkSession, path: str) -> DataFrame | None:
     """Days already in the table, or None when there is no table yet."""
-    try:
-        return spark.read.parquet(path).select("date").distinct()
-    except AnalysisException:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
+    return spark.read.parquet(path).select("date").distinct()
 
 
 def write_days(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -47,12 +46,17 @@ def write_days(df: DataFrame, path: str, overwrite: bool = False) -> None:
     Days already present are skipped, or replaced one by one with ``overwrite``.
     """
     if overwrite:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+        _few_files(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
         return
     present = known_days(df.sparkSession, path)
     if present is not None:
         df = df.join(present, "date", "left_anti")
-    df.write.mode("append").partitionBy("date").parquet(path)
+    _few_files(df).write.mode("append").partitionBy("date").parquet(path)
+
+
+def _few_files(df: DataFrame) -> DataFrame:
+    """Rows of a day together; adaptive execution splits a day that is too large for one task."""
+    return df.hint("rebalance", "date")
 
 
 def import_day(posts: DataFrame, day: str, zone: str, days: int = 1, instant: str = "created_at") -> DataFrame:
@@ -73,11 +77,12 @@ def summarise_days(df: DataFrame, path: Column, **measures: Column) -> DataFrame
 
 
 def json_to_parquet(spark: SparkSession, source: str, target: str, schema: StructType) -> DataFrame:
-    """Convert JSON lines to parquet; returns the rows written per source file."""
-    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").json(source)
-    rows.write.mode("overwrite").parquet(target)
-    return (
-        spark.read.schema(schema).option("ignoreCorruptFiles", "true").json(source)
-        .groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
+    """Convert JSON lines to parquet, a folder per source file; returns the rows written per file.
+
+    Broken lines are left out.  The source is read once; the counts come from
+    the written table's partitions.
+    """
+    rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("mode", "DROPMALFORMED").json(source)
+    file = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    rows.select("*", file.alias("file")).write.mode("overwrite").partitionBy("file").parquet(target)
+    return spark.read.parquet(target).groupBy(F.col("file").cast("string").alias("file")).agg(F.count(F.lit(1)).alias("n_rows"))

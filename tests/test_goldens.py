@@ -3,6 +3,7 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from agorasift.functions import dates as D
@@ -206,3 +207,67 @@ def test_largest_strong_component(spark):
     found = {r.node: r.component for r in G.strong_components(edges).collect()}
     assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
     assert sorted(r.node for r in G.largest_component(G.strong_components(edges)).collect()) == [1, 2, 3]
+
+
+def test_null_groups_keep_their_rows(spark):
+    from agorasift.operators.ranking import number_rows
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (4, None)], "id int, cls string")
+    got = {r["id"]: r["row_id"] for r in number_rows(df, [F.col("id")], within=["cls"]).collect()}
+    assert got == {1: 0, 3: 1, 2: 0, 4: 1}
+
+
+def test_broken_json_lines_are_not_written(spark, tmp_path):
+    from agorasift.sources import days
+
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "one.json").write_text('{"id": 1}\n{"id": \n{"id": 2}\nnonsense\n')
+    schema = spark.createDataFrame([], "id long").schema
+    counts = days.json_to_parquet(spark, str(source), str(tmp_path / "out"), schema).collect()
+    assert [tuple(r) for r in counts] == [("one.json", 2)]
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_days_of_a_missing_and_a_broken_table(spark, tmp_path):
+    from agorasift.sources import days
+
+    assert days.known_days(spark, str(tmp_path / "none")) is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("not parquet")
+    with pytest.raises(Exception, match="(?s)."):
+        days.known_days(spark, str(tmp_path / "bad"))
+
+
+def test_quantile_over_slices(spark):
+    from agorasift.operators.ranking import distinct_level_quantile
+
+    values = [1, 1, 2, 5, 5, 5, 9, 14, None]
+    df = spark.createDataFrame([(v,) for v in values], "x int")
+    known = sorted(v for v in values if v is not None)
+    for share in (0.0, 0.25, 0.5, 0.9, 1.0):
+        place = share * (len(known) - 1)
+        low = int(place)
+        want = known[low] + (place - low) * (known[min(low + 1, len(known) - 1)] - known[low])
+        assert distinct_level_quantile(df, "x", share) == pytest.approx(want)
+    assert distinct_level_quantile(df.where("x > 99"), "x", 0.5) is None
+
+
+def test_hub_of_a_component_can_be_split(spark):
+    """The step of the component search joins two plain exchanges, which adaptive execution splits."""
+    from agorasift.operators.graph import _point_low
+
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 2000)], "u long, v long")
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        moved = _point_low(pairs)
+        moved.collect()
+        plan = moved._jdf.queryExecution().executedPlan().toString()
+        assert "skew" in plan or plan.count("Exchange hashpartitioning(v") >= 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -96,16 +96,16 @@ def separates(shares):
 
 
 def test_nmf_separates_topics(spark):
-    w, h = X.fit_nmf(two_topic_cells(spark), 2, rounds=12)
+    w, h = X.fit_nmf(two_topic_cells(spark), 2)
     assert separates(X.factor_shares(w, "row_id", "w", 2).collect())
     assert h.count() == 20
-    moved = X.nmf_transform(two_topic_cells(spark), h, 2, rounds=8)
+    moved = X.nmf_transform(two_topic_cells(spark), h, 2)
     assert separates(X.factor_shares(moved, "row_id", "w", 2).collect())
 
 
 def test_lda_separates_topics(spark):
     vectors = X.sparse_vectors(two_topic_cells(spark), 20, column="token_id")
-    model = X.fit_lda(vectors, 2, rounds=30, sample=1.0)
+    model = X.fit_lda(vectors, 2, passes=30)
     rows = X.lda_doc_topics(model, vectors, least=0.0).groupBy("row_id").pivot("topic", [0, 1]).sum("share")
     assert separates(rows.withColumnsRenamed({"0": "topic_0", "1": "topic_1"}).collect())
 
