@@ -9,12 +9,15 @@ from agorasift.operators import daily
 from agorasift.operators import graph as G
 from agorasift.operators import labels as L
 from agorasift.operators import vocabulary as W
+from agorasift.operators.durable import durable
 from agorasift.plans import views as V
 from agorasift.plans.registry import query
 from agorasift.plans.text import _AGES, biography
 
 CLASSES = ("alpha", "beta", "noise")
-FAMILIES = ("domain", "description_token", "rt_target", "rt_group")
+GROUP_FAMILIES = {"retweet": "rt_group", "reply": "mention_group", "quote": "quote_group"}
+TARGET_FAMILIES = {"retweet": "rt_target", "reply": "reply_target", "quote": "quote_target"}
+FAMILIES = V.FEATURE_FAMILIES
 ALLOWED = (7, 11, 13)
 
 
@@ -24,18 +27,29 @@ def user_rows(t):
 
 
 def user_features(t):
-    """Biography tokens, shared domains and repeated accounts of every user."""
-    bio = daily.token_frequency(G.latest_profile(t.profiles), T.tokenize(F.col("description")), ["user_id"])
-    domains = daily.user_domains(t.posts, F.array("url"))
-    targets = t.edges.where(F.col("layer") == "retweet").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    return L.assemble_features([
-        bio.select(F.col("user_id").alias("row_id"), F.lit("description_token").alias("type"), "token",
-                   F.col("frequency").alias("value")),
-        domains.select(F.col("user_id").alias("row_id"), F.lit("domain").alias("type"), F.col("domain").alias("token"),
-                       F.col("frequency").alias("value")),
-        targets.select(F.col("src").alias("row_id"), F.lit("rt_target").alias("type"), F.col("dst").alias("token"),
-                       F.col("weight").alias("value")),
-    ])
+    """The nine rule families of every user, stored: texts are tokenised once.
+
+    Shared domains, profile links, post tokens, names and biographies (summed
+    over the snapshots of all days), and the accounts a user repeats, answers
+    and quotes.
+    """
+    cells = lambda df, family, token, value: df.select(
+        F.col("user_id").alias("row_id"), F.lit(family).alias("type"), F.col(token).alias("token"), value.alias("value"))
+    counted = F.col("frequency")
+    words = lambda column: daily.token_frequency(t.profiles, T.tokenize(F.col(column)), ["user_id"])
+    links = W.profile_domains(t.profiles).distinct()
+    layer = F.element_at(F.create_map(*[F.lit(x) for pair in TARGET_FAMILIES.items() for x in pair]), F.col("layer"))
+    targets = t.edges.groupBy(F.col("src").alias("row_id"), layer.alias("type"), F.col("dst").alias("token")).agg(
+        F.sum("weight").alias("value"))
+    return durable(L.assemble_features([
+        cells(daily.user_domains(t.posts, F.array("url")), "domain", "domain", counted),
+        cells(links.select("user_id", "main_domain").distinct(), "profile_domain", "main_domain", F.lit(1)),
+        cells(links.select("user_id", "tld").distinct(), "profile_tld", "tld", F.lit(1)),
+        cells(daily.token_frequency(t.posts, T.tokenize(F.col("text")), ["user_id"]), "tweet_tokens", "token", counted),
+        cells(words("name"), "user_name", "token", counted),
+        cells(words("description"), "description_token", "token", counted),
+        targets,
+    ]))
 
 
 @query("eligible_users", """
@@ -81,8 +95,8 @@ def label_rules(t):
     return L.rule_labels(user_features(t), t.rules, "description_token")
 
 
-def votes(t):
-    return L.label_votes(user_features(t), t.rules)
+def votes(t, features=None):
+    return L.label_votes(user_features(t) if features is None else features, t.rules)
 
 
 @query("label_votes", "SELECT row_id, class, votes FROM votes", ["votes"])
@@ -108,8 +122,8 @@ def label_cap(t):
 
 
 @query("label_manual", "SELECT row_id, class, votes FROM tagged_votes", ["tagged_votes"])
-def label_manual(t):
-    return L.manual_labels(L.drop_conflicts(votes(t)), t.known_accounts, user_rows(t))
+def label_manual(t, features=None):
+    return L.manual_labels(L.drop_conflicts(votes(t, features)), t.known_accounts, user_rows(t))
 
 
 @query("label_allowlist", "SELECT row_id, class, votes FROM tagged_votes WHERE row_id NOT IN (7, 11, 13)", ["tagged_votes"])
@@ -134,8 +148,8 @@ def tfidf_l1(t):
     return L.tfidf(cells, norm="l1", column="token").select("row_id", "token", F.round("value", 6).alias("value"))
 
 
-def user_labels(t):
-    return L.single_label(label_manual(t), CLASSES).select(F.col("row_id").alias("user_id"), F.col("label").alias("class"))
+def user_labels(t, features=None):
+    return L.single_label(label_manual(t, features), CLASSES).select(F.col("row_id").alias("user_id"), F.col("label").alias("class"))
 
 
 for _layer in daily.LAYERS:
@@ -148,10 +162,14 @@ FROM edges e JOIN tagged_votes l ON l.row_id = e.dst WHERE e.layer = '{_layer}'
 
 
 def model_features(t):
-    """Feature cells without seeds, with the edges into labelled users."""
-    wide = L.group_edges(t.edges.where(F.col("layer") == "retweet"), user_labels(t), CLASSES)
-    groups = L.group_edge_features(wide, CLASSES, "rt_group", user_rows(t))
-    return L.assemble_features([L.remove_seeds(user_features(t), t.rules), groups])
+    """Feature cells without seeds, with the edges of each kind into labelled users."""
+    features = user_features(t)
+    labels = durable(user_labels(t, features))
+    groups = [
+        L.group_edge_features(L.group_edges(t.edges.where(F.col("layer") == layer), labels, CLASSES), CLASSES, family, user_rows(t))
+        for layer, family in GROUP_FAMILIES.items()
+    ]
+    return L.assemble_features([L.remove_seeds(features, t.rules), *groups])
 
 
 @query("feature_dictionary", "SELECT type, token, matrix_sum, feature_id FROM dictionary", ["dictionary"])
@@ -163,16 +181,17 @@ def feature_dictionary(t):
 SELECT f.row_id, d.feature_id, CAST(f.value AS DOUBLE) AS value FROM model_features f
 JOIN dictionary d ON d.type = f.type AND d.token = f.token""", ["model_features", "dictionary"])
 def feature_coo(t):
-    from agorasift.operators.durable import durable
-
     features = durable(model_features(t))
     return L.feature_cells(features, L.feature_dictionary(features, FAMILIES))
 
 
-@query("nonzero_features", """
+_FAMILY_LIST = str(list(FAMILIES))
+
+
+@query("nonzero_features", f"""
 SELECT type, token, row_number() OVER (ORDER BY block, matrix_sum DESC, token) - 1 AS feature_id, matrix_sum FROM (
   SELECT f.type, f.token, CAST(sum(f.value) AS DOUBLE) AS matrix_sum,
-         list_position(['domain', 'description_token', 'rt_target', 'rt_group'], f.type) AS block
+         list_position({_FAMILY_LIST}, f.type) AS block
   FROM model_features f WHERE f.row_id IN (SELECT user_id FROM predictions WHERE predicted_class NOT IN ('noise', 'undisclosed'))
   GROUP BY f.type, f.token HAVING sum(f.value) > 0)""", ["model_features", "predictions"])
 def nonzero_features(t):

@@ -182,12 +182,14 @@ def importances(t):
     return user_features(t).select("type", "token").distinct().withColumn("importance", value)
 
 
-_TITLES = """CASE type WHEN 'description_token' THEN 'bio' WHEN 'domain' THEN 'link' WHEN 'rt_target' THEN 'RT' END"""
+_TITLES = """CASE type WHEN 'description_token' THEN 'bio' WHEN 'domain' THEN 'link' WHEN 'rt_target' THEN 'RT' WHEN 'reply_target' THEN 'REPLY'
+  WHEN 'quote_target' THEN 'QUOTE' WHEN 'tweet_tokens' THEN 'term' WHEN 'user_name' THEN 'name' WHEN 'profile_domain' THEN 'bio.link'
+  WHEN 'profile_tld' THEN 'bio.tld' END"""
 _SHOWN_FEATURES = f"""
 named AS (
   SELECT DISTINCT type AS family, token AS raw, {_IMPORTANCE} AS importance, {_TITLES} AS type,
-    CASE WHEN type <> 'rt_target' THEN token WHEN u.user_id IS NULL THEN concat('ID:', token) ELSE concat('@user', token) END AS token
-  FROM features f LEFT JOIN users u ON f.type = 'rt_target' AND CAST(u.user_id AS VARCHAR) = f.token)"""
+    CASE WHEN type NOT LIKE '%_target' THEN token WHEN u.user_id IS NULL THEN concat('ID:', token) ELSE concat('@user', token) END AS token
+  FROM features f LEFT JOIN users u ON f.type LIKE '%_target' AND CAST(u.user_id AS VARCHAR) = f.token)"""
 
 
 @query("model_features", _ODDS + f""", {_SHOWN_FEATURES}

@@ -18,6 +18,11 @@ BASE_TABLES = (
 
 FACT_TABLES = ("events", "documents")
 
+# Feature families in the order of their columns.
+FEATURE_FAMILIES = (
+    "domain", "profile_domain", "profile_tld", "tweet_tokens", "user_name", "description_token", "rt_target", "reply_target",
+    "quote_target", "rt_group", "mention_group", "quote_group",
+)
 # Fixed values used by the example rules.
 STOPWORDS = ("of", "and", "by", "in", "un", "en")
 
@@ -85,6 +90,9 @@ GROUP BY CAST(ts AS DATE),
         ("beta", "description_token", "must_have", "der"), ("beta", "description_token", "cant_have", "that"),
         ("noise", "description_token", "must_have", "que"), ("alpha", "rt_target", "must_have", "7"),
         ("beta", "rt_target", "must_have", "13"), ("beta", "rt_target", "cant_have", "7"),
+        ("beta", "user_name", "must_have", "#000000008"), ("alpha", "reply_target", "must_have", "21"),
+        ("beta", "quote_target", "must_have", "9"), ("noise", "tweet_tokens", "must_have", "worthlessness"),
+        ("noise", "profile_domain", "must_have", "free-bets.example.com"), ("noise", "profile_tld", "must_have", "zip"),
         ("noise", "domain", "must_have", "free-bets.example.com")])),
     # class probabilities, one row per user
     "scores": View("""
@@ -187,13 +195,20 @@ SELECT token, frequency, row_number() OVER (ORDER BY frequency DESC, token) - 1
 SELECT token, frequency, row_number() OVER (ORDER BY frequency DESC, token) - 1 AS token_id FROM (
   SELECT token, count(*) AS frequency FROM profile_words WHERE token NOT IN {STOPWORDS}
   GROUP BY token HAVING count(*) >= 50)""",
+    "profile_hosts": f"""
+SELECT DISTINCT user_id, regexp_extract({HOST.format('url')}, '([^.]*\\.)?[^.]*$') AS host FROM profiles WHERE url <> ''""",
+    "name_words": f"""
+SELECT user_id, token FROM (SELECT user_id, unnest(regexp_extract_all(lower(name), '{TOKEN_PATTERN}')) AS token FROM profiles)
+WHERE {clean()}""",
     "features": """
-SELECT w.user_id AS row_id, 'description_token' AS type, w.token, CAST(count(*) AS DOUBLE) AS value FROM profile_words w
-JOIN (SELECT user_id, max(date) AS date FROM profile_words GROUP BY 1) m ON m.user_id = w.user_id AND m.date = w.date
-GROUP BY 1, 2, 3
+SELECT user_id AS row_id, 'description_token' AS type, token, CAST(count(*) AS DOUBLE) AS value FROM profile_words GROUP BY 1, 2, 3
+UNION ALL SELECT user_id, 'user_name', token, CAST(count(*) AS DOUBLE) FROM name_words GROUP BY 1, 2, 3
+UNION ALL SELECT user_id, 'tweet_tokens', token, CAST(frequency AS DOUBLE) FROM user_tokens
 UNION ALL SELECT user_id, 'domain', domain, CAST(frequency AS DOUBLE) FROM user_domains
-UNION ALL SELECT src, 'rt_target', CAST(dst AS VARCHAR), CAST(sum(weight) AS DOUBLE) FROM edges
-WHERE layer = 'retweet' GROUP BY 1, 2, 3""",
+UNION ALL SELECT DISTINCT user_id, 'profile_domain', host, 1.0 FROM profile_hosts
+UNION ALL SELECT DISTINCT user_id, 'profile_tld', regexp_extract(host, '[^.]*$'), 1.0 FROM profile_hosts
+UNION ALL SELECT src, CASE layer WHEN 'retweet' THEN 'rt_target' WHEN 'reply' THEN 'reply_target' ELSE 'quote_target' END,
+  CAST(dst AS VARCHAR), CAST(sum(weight) AS DOUBLE) FROM edges GROUP BY 1, 2, 3""",
     "family_labels": """
 SELECT f.row_id, r.family, r.class FROM features f JOIN rules r ON r.family = f.type AND r.token = f.token
 GROUP BY 1, 2, 3 HAVING count_if(r.kind = 'must_have') > 0 AND count_if(r.kind = 'cant_have') = 0""",
@@ -205,12 +220,12 @@ UNION ALL SELECT user_id, class, 1 FROM known_accounts WHERE user_id IN (SELECT
     "model_features": """
 SELECT row_id, type, token, value FROM features
 WHERE (type, token) NOT IN (SELECT (family, token) FROM rules WHERE kind = 'must_have')
-UNION ALL SELECT e.src, 'rt_group', l.class, CAST(sum(e.weight) AS DOUBLE) FROM edges e
-JOIN tagged_votes l ON l.row_id = e.dst WHERE e.layer = 'retweet' GROUP BY 1, 2, 3""",
-    "dictionary": """
+UNION ALL SELECT e.src, CASE e.layer WHEN 'retweet' THEN 'rt_group' WHEN 'reply' THEN 'mention_group' ELSE 'quote_group' END, l.class,
+  CAST(sum(e.weight) AS DOUBLE) FROM edges e JOIN tagged_votes l ON l.row_id = e.dst GROUP BY 1, 2, 3""",
+    "dictionary": f"""
 SELECT type, token, matrix_sum, row_number() OVER (ORDER BY block, matrix_sum DESC, token) - 1 AS feature_id FROM (
   SELECT type, token, sum(value) AS matrix_sum,
-         list_position(['domain', 'description_token', 'rt_target', 'rt_group'], type) AS block
+         list_position({list(FEATURE_FAMILIES)}, type) AS block
   FROM model_features GROUP BY type, token HAVING sum(value) > 0)""",
     "user_domains": f"""
 SELECT user_id, domain, count(*) AS frequency FROM (SELECT user_id, {HOST.format('url')} AS domain FROM posts)
@@ -225,7 +240,8 @@ _CHECK_INPUTS = {
     "user_tokens": ("post_words",), "multiplex": ("edges",), "heavy": ("multiplex",), "reach": ("heavy",),
     "components": ("reach",), "members": ("components",), "discussion": ("heavy", "members"),
     "row_ids": ("users", "discussion"), "post_vocab": ("user_tokens",), "description_vocab": ("profile_words",),
-    "features": ("profile_words", "user_domains", "edges"), "family_labels": ("features", "rules"),
+    "profile_hosts": ("profiles",), "name_words": ("profiles",),
+    "features": ("profile_words", "name_words", "user_tokens", "user_domains", "profile_hosts", "edges"), "family_labels": ("features", "rules"),
     "votes": ("family_labels",), "sure_votes": ("votes",), "tagged_votes": ("sure_votes", "known_accounts", "users"),
     "model_features": ("features", "rules", "edges", "tagged_votes"), "dictionary": ("model_features",),
     "user_domains": ("posts",), "domain_vocab": ("user_domains",),

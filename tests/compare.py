@@ -56,7 +56,8 @@ def compare(spark, con, name, query, sql, root):
         return False, f"columns {sorted(df.columns)} != {sorted(columns)}"
     a, b = normal_rows(df.columns, got), normal_rows(columns, want)
     if a != b:
-        only_a, only_b = [r for r in a if r not in b[:20000]][:2], [r for r in b if r not in a[:20000]][:2]
+        in_a, in_b = set(map(repr, a)), set(map(repr, b))
+        only_a, only_b = [r for r in a if repr(r) not in in_b][:2], [r for r in b if repr(r) not in in_a][:2]
         return False, f"rows {len(a)} vs {len(b)}; spark only {str(only_a)[:300]}; sql only {str(only_b)[:300]}"
     return len(a) > 0, f"n={len(a)} spark {took:.1f}s sql {took_sql:.1f}s"
 
