@@ -33,24 +33,18 @@ def friend_ratio(users: DataFrame) -> DataFrame:
 
 
 def component_cells(components: DataFrame, layer: str, least: int = 10) -> DataFrame:
-    """Membership in the components with enough nodes, in long form."""
+    """One-hot membership in the components with enough nodes, in long form: the ones, however many components there are."""
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return components.join(sizes.select("component"), "component", "left_semi").select(
         F.col("node").alias("user_id"),
         F.concat(F.lit(f"{layer}_component_"), F.col("component")).alias("feature"), F.lit(1.0).alias("value"))
 
 
-def component_names(cells: DataFrame, most: int = 1000) -> list[str]:
-    """Names of the components; refuses to make a table wider than ``most``."""
-    names = sorted(r["feature"] for r in cells.select("feature").distinct().limit(most + 1).collect())
-    if len(names) > most:
-        raise ValueError(f"more than {most} large components: use the long form, or a higher least size")
-    return names
-
-
-def component_onehot(cells: DataFrame, names: Sequence[str]) -> DataFrame:
-    """The same as one 0/1 column per component."""
-    return cells.groupBy("user_id").pivot("feature", list(names)).agg(F.max("value")).na.fill(0.0)
+def component_of(components: DataFrame, layer: str, least: int = 10) -> DataFrame:
+    """The component of each user with enough nodes, as one categorical column; it stands for all 0/1 columns."""
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return components.join(sizes.select("component"), "component", "left_semi").select(
+        F.col("node").alias("user_id"), F.col("component").alias(f"{layer}_component"))
 
 
 def active_days(stats: DataFrame, users: DataFrame) -> DataFrame:
@@ -100,10 +94,11 @@ def counter_diff(stats: DataFrame, columns: Sequence[str]) -> DataFrame:
     return nexts.where(F.col("date_end").isNotNull())
 
 
-def feature_table(users: DataFrame, parts: Sequence[DataFrame]) -> DataFrame:
-    """All features of the users in one row each, with gaps as 0."""
+def feature_table(users: DataFrame, parts: Sequence[DataFrame], categories: Sequence[str] = ()) -> DataFrame:
+    """All features of the users in one row each, with gaps as 0; categories stay null where they are missing."""
     joined = reduce(lambda a, b: a.join(b, "user_id", "left"), parts, users.select("user_id"))
-    return joined.select("user_id", *[N.repair(F.col(c)).alias(c) for c in joined.columns if c != "user_id"])
+    kept = [F.col(c) if c in categories else N.repair(F.col(c)).alias(c) for c in joined.columns if c != "user_id"]
+    return joined.select("user_id", *kept)
 
 
 def _average_path(n) -> np.ndarray:
@@ -113,37 +108,52 @@ def _average_path(n) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def _grow(data: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (id, column, cut, left, right, depth value); column -1 marks a leaf."""
+def _grow(data: np.ndarray, groups: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple]:
+    """Nodes (id, column, cut, member, left, right, depth value); column -1 marks a leaf.
+
+    Columns from ``data``'s width on are those of ``groups`` (-1: no member):
+    each member is a 0/1 column of its own, and its rows go right.
+    """
     nodes: list[tuple] = [()]
-    work = [(0, data, 0)]
+    work = [(0, np.arange(len(data)), 0)]
     while work:
-        at, part, depth = work.pop()
-        spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(part) > 1 else []
-        if depth >= limit or len(spread) == 0:
-            nodes[at] = (at, -1, 0.0, -1, -1, depth + float(_average_path(len(part))))
+        at, rows, depth = work.pop()
+        part = data[rows]
+        choices = [(int(c), None) for c in np.flatnonzero(part.max(axis=0) > part.min(axis=0))] if len(rows) > 1 else []
+        for c in range(groups.shape[1]) if len(rows) > 1 else ():
+            members, sizes = np.unique(groups[rows, c], return_counts=True)
+            choices += [(data.shape[1] + c, int(m)) for m, n in zip(members, sizes) if m >= 0 and n < len(rows)]
+        if depth >= limit or not choices:
+            nodes[at] = (at, -1, 0.0, -1, -1, -1, depth + float(_average_path(len(rows))))
             continue
-        column = int(rng.choice(spread))
-        low, high = part[:, column].min(), part[:, column].max()
-        cut = float(rng.uniform(low, high))
-        left = part[:, column] <= cut
+        column, member = choices[int(rng.integers(len(choices)))]
+        cut = 0.0
+        if member is None:
+            cut = float(rng.uniform(part[:, column].min(), part[:, column].max()))
+            left = part[:, column] <= cut
+        else:
+            left = groups[rows, column - data.shape[1]] != member
         children = (len(nodes), len(nodes) + 1)
         nodes += [(), ()]
-        nodes[at] = (at, column, cut, *children, 0.0)
-        work += [(children[0], part[left], depth + 1), (children[1], part[~left], depth + 1)]
+        nodes[at] = (at, column, cut, -1 if member is None else member, *children, 0.0)
+        work += [(children[0], rows[left], depth + 1), (children[1], rows[~left], depth + 1)]
     return nodes
 
 
 def isolation_scores(features: DataFrame, trees: int = 100, sample: int = 1000, seed: int = 666,
-                     key: str = "user_id") -> DataFrame:
+                     key: str = "user_id", categories: Sequence[str] = ()) -> DataFrame:
     """Adds ``score``; negative values are anomalous.
 
+    ``categories`` are columns of non-negative ids; each id counts as a 0/1
+    column, without a wide table.
+
     Each row enters the sample of a tree by a hash of its key, so only about
     ``trees * sample`` rows are shuffled, and one task grows a tree from a
     sample of bounded size.  The forest has at most ``2 * sample`` nodes per
     tree; it is sent to the tasks that score all rows.
     """
-    columns = [c for c in features.columns if c != key]
+    columns = [c for c in features.columns if c != key and c not in categories]
+    members = lambda pdf: np.column_stack([pdf[c].fillna(-1).astype("int64") for c in categories]) if categories else np.zeros((len(pdf), 0), int)
     rows = features.count()
     take = min(sample, rows)
     # a little more than the sample, cut to size inside the group
@@ -160,14 +170,14 @@ def isolation_scores(features: DataFrame, trees: int = 100, sample: int = 1000,
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_draw", key]).head(take)
         tree = int(pdf["tree"].iloc[0])
-        nodes = _grow(pdf[columns].to_numpy(float), depth_limit, np.random.default_rng([seed, tree]))
-        return pd.DataFrame([(tree, *n) for n in nodes], columns=["tree", "node", "col", "cut", "lo", "hi", "length"])
+        nodes = _grow(pdf[columns].to_numpy(float), members(pdf), depth_limit, np.random.default_rng([seed, tree]))
+        return pd.DataFrame([(tree, *n) for n in nodes], columns=["tree", "node", "col", "cut", "member", "lo", "hi", "length"])
 
     forest = sampled.groupBy("tree").applyInPandas(
-        grow, "tree int, node int, col int, cut double, lo int, hi int, length double"
+        grow, "tree int, node int, col int, cut double, member long, lo int, hi int, length double"
     ).toPandas()
     model = {
-        int(tree): tuple(part.sort_values("node")[c].to_numpy() for c in ("col", "cut", "lo", "hi", "length"))
+        int(tree): tuple(part.sort_values("node")[c].to_numpy() for c in ("col", "cut", "member", "lo", "hi", "length"))
         for tree, part in forest.groupby("tree")
     }
     shared = features.sparkSession.sparkContext.broadcast(model)
@@ -175,16 +185,20 @@ def isolation_scores(features: DataFrame, trees: int = 100, sample: int = 1000,
 
     def score(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
-            data = pdf[columns].to_numpy(float)
+            data, groups = pdf[columns].to_numpy(float), members(pdf)
+            width, both = len(columns), np.column_stack([data, np.zeros((len(data), len(categories)))])
             total = np.zeros(len(data))
-            for col, cut, lo, hi, length in shared.value.values():
+            for col, cut, member, lo, hi, length in shared.value.values():
                 at = np.zeros(len(data), dtype=int)
                 while True:
                     inner = np.flatnonzero(col[at] >= 0)
                     if len(inner) == 0:
                         break
                     node = at[inner]
-                    below = data[inner, col[node]] <= cut[node]
+                    below = both[inner, col[node]] <= cut[node]
+                    for c in range(len(categories)):
+                        mine = col[node] == width + c
+                        below[mine] = groups[inner[mine], c] != member[node[mine]]
                     at[inner] = np.where(below, lo[node], hi[node])
                 total += length[at]
             depth = total / max(len(shared.value), 1)

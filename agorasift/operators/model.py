@@ -1,17 +1,17 @@
-"""Boosted-tree classification of sparse user vectors with Spark ML."""
+"""Boosted trees over long feature cells: every column takes part, and sums are grouped aggregates."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+import json
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import UnivariateFeatureSelector
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
 from pyspark.ml.linalg import VectorUDT
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from agorasift.operators import scores as S
 from agorasift.operators.durable import durable, scratch_path
@@ -41,67 +41,207 @@ def sparse_vectors(cells: DataFrame, size: int, rows: DataFrame | None = None, r
     return cells.sparkSession.read.schema(schema).parquet(path)
 
 
+@dataclass(frozen=True)
+class Split:
+    """Node ``node`` of the tree of a class in a round: ``value > cut`` goes to child ``2 * node + 1``, else ``2 * node``."""
+
+    turn: int
+    code: int
+    node: int
+    feature: int
+    cut: float
+    gain: float
+
+
+@dataclass(frozen=True)
+class Leaf:
+    turn: int
+    code: int
+    node: int
+    value: float
+
+
+def _logistic(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
 @dataclass
 class BoostedClassifier:
     """One boosted model per class, probabilities scaled to sum to one.
 
+    Input is long: cells (row_id, feature_id, value), a missing cell is zero.
+    In each round and level, gradients are joined to the cells of the labelled
+    rows and summed by (class, node, feature, bin); of each node only its best
+    split reaches the driver.  No column is left out, no row is a vector, and
+    the model's size follows rounds and depth, not the vocabulary.
+
     Rows without a label are left out of training; a share of the labelled
-    rows stops the boosting early; classes weigh the same in total.
+    rows stops the boosting once it has not gained for ``patience`` rounds;
+    classes weigh the same in total.
     """
 
-    rounds: int = 50
-    depth: int = 5
+    rounds: int = 250
+    depth: int = 3
     step: float = 0.1
+    bins: int = 16
+    smoothing: float = 1.0
+    patience: int = 20
     validation_share: float = 0.15
-    max_features: int = 0  # 0 keeps all columns; otherwise the best ones by F-test
     seed: int = 42
     classes: list[str] = field(default_factory=list)
-    models: list[GBTClassificationModel] = field(default_factory=list)
-    selector: object = None
-    calibrators: list = field(default_factory=list)
-
-    def fit(self, df: DataFrame) -> "BoostedClassifier":
-        """``df`` holds row_id, features, label (null when unknown)."""
-        labelled = df.where(F.col("label").isNotNull()).select("row_id", "features", "label")
-        split = S.stratified_split(labelled.select("row_id", "label"), self.validation_share, "label", "row_id", self.seed)
+    splits: list[Split] = field(default_factory=list)
+    leaves: list[Leaf] = field(default_factory=list)
+    calibrators: list[IsotonicRegressionModel] = field(default_factory=list)
+
+    def fit(self, cells: DataFrame, labels: DataFrame) -> "BoostedClassifier":
+        """``labels`` holds row_id and label; rows with a null label are ignored."""
+        known = labels.where(F.col("label").isNotNull()).select("row_id", "label")
+        split = durable(S.stratified_split(known, self.validation_share, "label", "row_id", self.seed))
         weighted = S.balanced_weights(split.where(~F.col("validation")), "label").unionByName(
             split.where(F.col("validation")).withColumn("weight", F.lit(1.0)))
         coded, self.classes = S.label_encode(weighted, "label", "code")
-        training = durable(labelled.drop("label").join(coded, "row_id"))
-        if self.max_features:
-            self.selector = UnivariateFeatureSelector(
-                featuresCol="features", outputCol="chosen", labelCol="code", selectionMode="numTopFeatures"
-            ).setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(self.max_features).fit(training)
-        training = self._choose(training)
-        self.models = []
-        for code in range(len(self.classes)):
-            own = training.withColumn("own", (F.col("code") == code).cast("double"))
-            self.models.append(
-                GBTClassifier(
-                    featuresCol="chosen", labelCol="own", weightCol="weight", maxIter=self.rounds, maxDepth=self.depth,
-                    stepSize=self.step, seed=self.seed, cacheNodeIds=True,
-                    validationIndicatorCol="validation",
-                ).fit(own)
-            )
+        zeros = lambda kind, v: F.array(*[F.lit(v).cast(kind)] * len(self.classes))
+        rows = durable(coded.select("row_id", "code", "validation", "weight", zeros("double", 0.0).alias("margin"), zeros("int", 1).alias("node")))
+        own = durable(cells.join(rows.select("row_id", "validation"), "row_id").where("value <> 0"))
+        binned = durable(self._binned(own.where("NOT validation")))
+        self.splits, self.leaves = [], []
+        best, waited, kept = None, 0, (0, 0)
+        for turn in range(self.rounds):
+            rows = self._grow(rows, own, binned, turn)
+            loss = self._loss(rows)
+            if loss is None or best is None or loss < best - 1e-6:
+                best, waited, kept = loss, 0, (len(self.splits), len(self.leaves))
+            else:
+                waited += 1
+            if waited >= self.patience:
+                break
+        self.splits, self.leaves = self.splits[: kept[0]], self.leaves[: kept[1]]
         return self
 
-    def _choose(self, df: DataFrame) -> DataFrame:
-        if self.selector is not None:
-            return self.selector.transform(df)
-        return df.withColumn("chosen", F.col("features"))
-
-    def raw_probabilities(self, df: DataFrame) -> DataFrame:
-        """One probability column ``p_<code>`` per class, each from its own model."""
-        scored = self._choose(df)
-        for code, model in enumerate(self.models):
-            model = model.copy().setProbabilityCol(f"_pr{code}").setRawPredictionCol(f"_raw{code}").setPredictionCol(f"_y{code}")
-            scored = model.transform(scored).withColumn(f"p_{code}", vector_to_array(f"_pr{code}")[1]).drop(
-                f"_pr{code}", f"_raw{code}", f"_y{code}")
-        return scored.drop("chosen")
-
-    def calibrate(self, df: DataFrame) -> "BoostedClassifier":
+    def _binned(self, cells: DataFrame) -> DataFrame:
+        """(row_id, feature_id, bin, below, at): the cuts next to the value; zero is always a cut."""
+        shares = F.array(*[F.lit(i / self.bins) for i in range(1, self.bins)])
+        quantiles = F.percentile_approx("value", shares, F.lit(1000))
+        cuts = cells.groupBy("feature_id").agg(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), quantiles))).alias("cuts"))
+        placed = cells.join(cuts, "feature_id").withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("value"))))
+        return placed.select("row_id", "feature_id", "bin", F.get("cuts", F.col("bin") - 1).alias("below"), F.get("cuts", F.col("bin")).alias("at"))
+
+    def _gradients(self, rows: DataFrame) -> DataFrame:
+        """(row_id, code, node, g, h) of the training rows, one row per class."""
+        each = rows.where("NOT validation").select(
+            "row_id", "weight", F.col("code").alias("own"), F.posexplode(F.arrays_zip("margin", "node")).alias("code", "m"))
+        p = _logistic(F.col("m.margin"))
+        y = (F.col("code") == F.col("own")).cast("double")
+        return each.select("row_id", "code", F.col("m.node").alias("node"), (F.col("weight") * (y - p)).alias("g"),
+                           (F.col("weight") * p * (1 - p)).alias("h"))
+
+    def _grow(self, rows: DataFrame, own: DataFrame, binned: DataFrame, turn: int) -> DataFrame:
+        """One tree per class; the margins with its leaf values added."""
+        for level in range(self.depth):
+            found = self._best_splits(self._gradients(rows), binned, turn, 2**level)
+            if not found:
+                break
+            self.splits += found
+            rows = self._moved(rows, own, found)
+        sums = self._gradients(rows).groupBy("code", "node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+        leaves = [Leaf(turn, r["code"], r["node"], self.step * r["g"] / (r["h"] + self.smoothing)) for r in sums]
+        self.leaves += leaves
+        value = self._chosen(leaves, lambda leaf: F.lit(leaf.value), F.lit(0.0))
+        margin = F.transform(F.arrays_zip("margin", "node"), lambda m, i: m["margin"] + value(i, m["node"]))
+        ones = F.transform("node", lambda n: F.lit(1))
+        return durable(rows.withColumn("margin", margin).withColumn("node", ones))
+
+    def _best_splits(self, gradients: DataFrame, binned: DataFrame, turn: int, first: int) -> list[Split]:
+        """The best split of each node of one level, by the sums on the non-zero side of each cut."""
+        gradients = gradients.where(F.col("node") >= first)
+        totals = gradients.groupBy("code", "node").agg(F.sum("g").alias("tg"), F.sum("h").alias("th"))
+        sums = binned.join(gradients, "row_id").groupBy("code", "node", "feature_id", "bin").agg(
+            F.sum("g").alias("g"), F.sum("h").alias("h"), F.first("below").alias("below"), F.first("at").alias("at"))
+        ordered = Window.partitionBy("code", "node", "feature_id").orderBy("bin")
+        up, down = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing), ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.withColumns({f"{n}_{x}": F.sum(x).over(w) for n, w in (("up", up), ("down", down)) for x in ("g", "h")})
+        side = lambda cut, n: F.struct(F.col(cut).alias("cut"), F.col(f"{n}_g").alias("g"), F.col(f"{n}_h").alias("h"))
+        # above a cut of zero or more, or up to a cut below zero: never the side with the missing cells
+        sides = F.array(F.when(F.col("below") >= 0, side("below", "up")), F.when(F.col("at") < 0, side("at", "down")))
+        candidates = sums.select("code", "node", "feature_id", F.explode(F.array_compact(sides)).alias("s")).join(totals, ["code", "node"])
+        g, h, other = F.col("s.g"), F.col("s.h"), F.lit(self.smoothing)
+        gain = g * g / (h + other) + (F.col("tg") - g) * (F.col("tg") - g) / (F.col("th") - h + other) - F.col("tg") * F.col("tg") / (F.col("th") + other)
+        scored = candidates.withColumn("gain", F.round(gain, 9)).where("gain > 1e-6")
+        best = scored.groupBy("code", "node").agg(F.max_by(
+            F.struct("feature_id", F.col("s.cut").alias("cut"), "gain"), F.struct("gain", -F.col("feature_id"), F.col("s.cut"))).alias("b"))
+        return [Split(turn, r["code"], r["node"], r["b"]["feature_id"], r["b"]["cut"], r["b"]["gain"])
+                for r in sorted(best.collect(), key=lambda r: (r["code"], r["node"]))]
+
+    @staticmethod
+    def _chosen(items: Sequence, make: Callable, otherwise: Column) -> Callable[[Column, Column], Column]:
+        """An expression of (class, node) with one case per item."""
+        def expression(code: Column, node: Column) -> Column:
+            result = otherwise
+            for item in items:
+                result = F.when((code == item.code) & (node == item.node), make(item)).otherwise(result)
+            return result
+
+        return expression
+
+    def _moved(self, rows: DataFrame, own: DataFrame, splits: Sequence[Split]) -> DataFrame:
+        """Rows in the children of the nodes that were split."""
+        used = own.where(F.col("feature_id").isin(sorted({s.feature for s in splits})))
+        seen = used.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("_seen"))
+        value = lambda s: F.coalesce(F.try_element_at("_seen", F.lit(s.feature).cast("long")), F.lit(0.0))
+        child = self._chosen(splits, lambda s: F.when(value(s) > s.cut, 2 * s.node + 1).otherwise(2 * s.node), F.lit(0))
+        moved = F.transform("node", lambda n, i: F.coalesce(F.nullif(child(i, n), F.lit(0)), n))
+        return rows.join(seen, "row_id", "left").withColumn("node", moved).drop("_seen")
+
+    def _loss(self, rows: DataFrame) -> float | None:
+        """Mean log-loss over validation rows and classes; none without such rows."""
+        hit = F.transform("margin", lambda m, i: F.log1p(F.exp(F.when(i == F.col("code"), -m).otherwise(m))))
+        total = F.aggregate(hit, F.lit(0.0), lambda a, x: a + x)
+        return rows.where("validation").agg(F.avg(total)).first()[0]
+
+    def raw_probabilities(self, cells: DataFrame, rows: DataFrame) -> DataFrame:
+        """One probability column ``p_<code>`` per class, each from its own model, for all of ``rows``.
+
+        Only cells of features that a tree uses are gathered, as many per row
+        as the model has at most.
+        """
+        features = sorted({s.feature for s in self.splits})
+        place = {f: i for i, f in enumerate(features)}
+        known = cells.sparkSession.createDataFrame(list(place.items()), "feature_id long, at int")
+        held = cells.join(F.broadcast(known), "feature_id").groupBy("row_id").agg(
+            F.collect_list("at").alias("_at"), F.collect_list(F.col("value").cast("double")).alias("_value"))
+        trees: dict[tuple[int, int], tuple[dict, dict]] = {}
+        for s in self.splits:
+            trees.setdefault((s.turn, s.code), ({}, {}))[0][s.node] = (place[s.feature], s.cut)
+        for leaf in self.leaves:
+            trees.setdefault((leaf.turn, leaf.code), ({}, {}))[1][leaf.node] = leaf.value
+        depth, width, classes = self.depth, len(features), len(self.classes)
+
+        def score(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+            for batch in batches:
+                dense = np.zeros((len(batch), width))
+                for i, (at, value) in enumerate(zip(batch.pop("_at"), batch.pop("_value"))):
+                    if at is not None:
+                        dense[i, at] = value
+                margin = np.zeros((len(batch), classes))
+                for (_, code), (splits, leaves) in trees.items():
+                    node = np.ones(len(batch), int)
+                    for _ in range(depth):
+                        for n in set(node.tolist()) & splits.keys():
+                            inside = node == n
+                            column, cut = splits[n]
+                            node[inside] = 2 * n + (dense[inside, column] > cut)
+                    margin[:, code] += [leaves.get(n, 0.0) for n in node.tolist()]
+                for code in range(classes):
+                    batch[f"p_{code}"] = 1 / (1 + np.exp(-margin[:, code]))
+                yield batch
+
+        joined = rows.join(held, "row_id", "left")
+        schema = StructType([*rows.schema.fields, *[StructField(f"p_{c}", DoubleType()) for c in range(classes)]])
+        return joined.mapInPandas(score, schema)
+
+    def calibrate(self, cells: DataFrame, labels: DataFrame) -> "BoostedClassifier":
         """Isotonic map per class from held-out labelled rows."""
-        held = durable(self.raw_probabilities(df.where(F.col("label").isNotNull())).drop("features"))
+        held = durable(self.raw_probabilities(cells, labels.where(F.col("label").isNotNull()).select("row_id", "label")))
         self.calibrators = [
             IsotonicRegression(featuresCol=f"p_{code}", labelCol="_hit").fit(
                 held.withColumn("_hit", (F.col("label") == name).cast("double")))
@@ -109,9 +249,9 @@ class BoostedClassifier:
         ]
         return self
 
-    def predict(self, df: DataFrame) -> DataFrame:
-        """Normalised ``p_<code>`` columns and ``predicted_class``."""
-        scored = self.raw_probabilities(df)
+    def predict(self, cells: DataFrame, rows: DataFrame) -> DataFrame:
+        """``rows`` with normalised ``p_<code>`` columns and ``predicted_class``."""
+        scored = self.raw_probabilities(cells, rows)
         names = [f"p_{i}" for i in range(len(self.classes))]
         for name, model in zip(names, self.calibrators):
             scored = model.copy().setPredictionCol("_iso").transform(scored).withColumn(name, F.col("_iso")).drop("_iso")
@@ -123,54 +263,58 @@ class BoostedClassifier:
         return S.argmax_class(scored, dict(zip(names, self.classes)))
 
     def importances(self, dictionary: DataFrame) -> DataFrame:
-        """Mean gain of each used feature, joined to its name.
-
-        Only features some tree uses are listed, a number bounded by the size
-        of the model.
-        """
+        """Share of the total gain of each feature, joined to its name; zero where no tree uses it."""
         gains: dict[int, float] = {}
-        chosen = list(self.selector.selectedFeatures) if self.selector is not None else None
-        for model in self.models:
-            vector = model.featureImportances
-            for i, gain in zip(vector.indices.tolist(), vector.values.tolist()):
-                at = chosen[i] if chosen else i
-                gains[at] = gains.get(at, 0.0) + gain / len(self.models)
-        used = dictionary.sparkSession.createDataFrame(sorted(gains.items()), "feature_id long, importance double")
+        for s in self.splits:
+            gains[s.feature] = gains.get(s.feature, 0.0) + s.gain
+        total = sum(gains.values()) or 1.0
+        used = dictionary.sparkSession.createDataFrame(
+            [(f, g / total) for f, g in sorted(gains.items())], "feature_id long, importance double")
         return dictionary.join(used, "feature_id", "left").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
 
-    def save(self, path: str) -> None:
-        """All parts under one folder."""
-        for code, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/class-{code}")
+    def save(self, spark: SparkSession, path: str, **tables: DataFrame) -> None:
+        """Settings, classes, trees and calibration under one folder, and any tables that belong to them."""
+        settings = {k: v for k, v in vars(self).items() if k not in ("splits", "leaves", "calibrators")}
+        spark.createDataFrame([(json.dumps(settings), len(self.calibrators))], "settings string, calibrators int").write.mode("overwrite").parquet(f"{path}/settings")
+        for name, items, schema in (("splits", self.splits, _SPLITS), ("leaves", self.leaves, _LEAVES)):
+            spark.createDataFrame([tuple(asdict(i).values()) for i in items], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
         for code, model in enumerate(self.calibrators):
             model.write().overwrite().save(f"{path}/calibration-{code}")
-        if self.selector is not None:
-            self.selector.write().overwrite().save(f"{path}/selector")
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "BoostedClassifier":
+        stored = spark.read.parquet(f"{path}/settings").first()
+        rows = lambda name: sorted(map(tuple, spark.read.parquet(f"{path}/{name}").collect()))  # noqa: E731  # as large as the model
+        return cls(**json.loads(stored["settings"]), splits=[Split(*r) for r in rows("splits")], leaves=[Leaf(*r) for r in rows("leaves")],
+                   calibrators=[IsotonicRegressionModel.load(f"{path}/calibration-{c}") for c in range(stored["calibrators"])])
+
+
+_SPLITS = "turn int, code int, node int, feature long, cut double, gain double"
+_LEAVES = "turn int, code int, node int, value double"
 
 
-def classify(features: DataFrame, labels: DataFrame, classifier: BoostedClassifier, users: DataFrame,
+def classify(cells: DataFrame, labels: DataFrame, classifier: BoostedClassifier, users: DataFrame,
              allowed: Sequence[int] = (), assigned: str = "undisclosed", offset: float = 0.1) -> DataFrame:
     """Fit, predict, then apply threshold, known labels and allowed accounts.
 
-    ``users`` maps row_id to user_id; the allowed accounts are user ids.
+    ``users`` holds all rows (row_id, user_id); the allowed accounts are user ids.
     """
-    df = durable(features.join(labels.select("row_id", "label"), "row_id", "left"))
-    classifier.fit(df)
+    classifier.fit(cells, labels)
     columns = {f"p_{i}": c for i, c in enumerate(classifier.classes)}
-    predicted = classifier.predict(df).drop("features").withColumnRenamed("label", "reported_label").join(
-        users.select("row_id", "user_id"), "row_id")
-    predicted = S.preserve_labels(S.threshold_class(predicted, columns, offset))
+    rows = users.select("row_id", "user_id").join(labels.select("row_id", F.col("label").alias("reported_label")), "row_id", "left")
+    predicted = S.preserve_labels(S.threshold_class(classifier.predict(cells, rows), columns, offset))
     return S.allow_accounts(predicted, allowed, assigned)
 
 
-def cross_validate(df: DataFrame, make_classifier, folds: int = 5, seed: int = 42) -> DataFrame:
+def cross_validate(cells: DataFrame, labels: DataFrame, make_classifier, folds: int = 5, seed: int = 42) -> DataFrame:
     """Report of each fold; folds keep the share of every class and of unlabelled rows."""
-    assigned = S.fold_assignment(df.select("row_id", "label"), folds, "label", "row_id", seed)
-    rows = durable(df.drop("label").join(assigned, "row_id"))
+    rows = durable(S.fold_assignment(labels.select("row_id", "label"), folds, "label", "row_id", seed))
     reports = None
     for fold in range(folds):
-        classifier = make_classifier().fit(rows.where(F.col("fold") != fold))
+        classifier = make_classifier().fit(cells, rows.where(F.col("fold") != fold))
         held = rows.where((F.col("fold") == fold) & F.col("label").isNotNull())
-        report = S.classification_report(classifier.predict(held), "label", "predicted_class").withColumn("fold", F.lit(fold))
+        report = S.classification_report(classifier.predict(cells, held), "label", "predicted_class").withColumn("fold", F.lit(fold))
         reports = report if reports is None else reports.unionByName(report)
     return reports

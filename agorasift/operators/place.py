@@ -132,14 +132,13 @@ def daily_emotion(scored: DataFrame, labels: Sequence[str] = EMOTIONS, by: str =
     return scored.groupBy(by).agg(*[F.avg(c).alias(c) for c in labels])
 
 
-def place_cosine(profiles: DataFrame, most: int = 5000) -> DataFrame:
+def place_cosine(profiles: DataFrame) -> DataFrame:
     """Cosine similarity of every two places from (name, topic, share) rows.
 
-    The result has one row per two places by definition.  Places come from a
-    list of regions and do not grow with the posts; longer lists are refused.
+    The result has one row per two places with a topic in common, by
+    definition.  Places come from a list of regions and do not grow with the
+    posts.  Products are summed inside tasks before the exchange.
     """
-    if profiles.select("name").distinct().limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} places")
     lengths = profiles.groupBy("name").agg(F.sqrt(F.sum(F.col("share") * F.col("share"))).alias("_length"))
     unit = profiles.join(lengths, "name").where(F.col("_length") > 0).select("name", "topic", (F.col("share") / F.col("_length")).alias("x"))
     other = unit.select(F.col("name").alias("other"), "topic", F.col("x").alias("y"))

@@ -126,15 +126,11 @@ walk AS (SELECT src AS node, src AS label FROM layered UNION SELECT dst, dst FRO
   SELECT h.b, w.label FROM walk w JOIN (SELECT src AS a, dst AS b FROM layered UNION SELECT dst, src FROM layered) h ON h.a = w.node),
 parts AS (SELECT node, min(label) AS component FROM walk GROUP BY 1),
 large AS (SELECT component FROM parts GROUP BY 1 HAVING count(*) >= 2)
-SELECT p.node AS user_id, concat('quote_component_', l.component) AS feature,
-       CASE WHEN p.component = l.component THEN 1.0 ELSE 0.0 END::DOUBLE AS value
-FROM parts p, large l WHERE p.component IN (SELECT component FROM large)""", ["edges"])
+SELECT p.node AS user_id, concat('quote_component_', p.component) AS feature, 1.0::DOUBLE AS value
+FROM parts p WHERE p.component IN (SELECT component FROM large)""", ["edges"])
 def component_onehot(t):
     edges = G.interactions_total(t.edges.where(F.col("layer") == "quote"))
-    cells = durable(N.component_cells(G.node_components(edges, t.users, min_weight=2), "quote", least=2))
-    names = N.component_names(cells)
-    wide = N.component_onehot(cells, names)
-    return wide.unpivot("user_id", names, "feature", "value")
+    return N.component_cells(G.node_components(edges, t.users, min_weight=2), "quote", least=2)
 
 
 @query("active_days", f"""
@@ -192,12 +188,9 @@ def features(t, components=False):
         N.relative_volume(N.user_volume(daily_stats), days), N.friend_ratio(profile), days, N.global_rhythm(profile, REFERENCE),
     ]
     users = durable(consolidated(t))
-    for layer in daily.LAYERS if components else ():
-        cells = durable(N.component_cells(layer_components(t, layer, users), layer))
-        names = N.component_names(cells)
-        if names:
-            parts.append(N.component_onehot(cells, names))
-    return N.feature_table(users, parts)
+    layers = list(daily.LAYERS) if components else []
+    parts += [N.component_of(layer_components(t, layer, users), layer) for layer in layers]
+    return N.feature_table(users, parts, [f"{layer}_component" for layer in layers])
 
 
 @query("anomaly_features", f"""
@@ -216,7 +209,8 @@ def anomaly_features(t):
 
 @query("anomaly_scores")
 def anomaly_scores(t):
-    return N.anomaly_labels(N.isolation_scores(durable(features(t, components=True)))).select(
+    table = durable(features(t, components=True))
+    return N.anomaly_labels(N.isolation_scores(table, categories=[f"{layer}_component" for layer in daily.LAYERS])).select(
         "user_id", "score", "anomaly_label")
 
 

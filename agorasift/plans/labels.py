@@ -161,9 +161,9 @@ FROM edges e JOIN tagged_votes l ON l.row_id = e.dst WHERE e.layer = '{_layer}'
         lambda t, layer=_layer: L.group_edges(t.edges.where(F.col("layer") == layer), user_labels(t), CLASSES))
 
 
-def model_features(t):
+def model_features(t, features=None):
     """Feature cells without seeds, with the edges of each kind into labelled users."""
-    features = user_features(t)
+    features = user_features(t) if features is None else features
     labels = durable(user_labels(t, features))
     groups = [
         L.group_edge_features(L.group_edges(t.edges.where(F.col("layer") == layer), labels, CLASSES), CLASSES, family, user_rows(t))

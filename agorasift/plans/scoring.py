@@ -303,46 +303,54 @@ def posts_sample_per_user(t):
 # classifiers
 
 def training_rows(t):
-    """Users as sparse vectors, with their weak labels; seeds are removed."""
-    features = durable(model_features(t))
+    """Cells of all users over all features, their weak labels, the users, the dictionary; seeds are removed."""
+    found = user_features(t)
+    features = durable(model_features(t, found))
     dictionary = durable(L.feature_dictionary(features, FAMILIES))
-    cells = L.feature_cells(features, dictionary)
-    size = dictionary.count()
-    rows = t.users.select(F.col("user_id").alias("row_id"))
-    vectors = M.sparse_vectors(cells, size, rows)
-    return vectors, L.single_label(label_manual(t), CLASSES), dictionary
+    cells = durable(L.feature_cells(features, dictionary))
+    labels = durable(L.single_label(label_manual(t, found), CLASSES))
+    return cells, labels, t.users.select(F.col("user_id").alias("row_id"), "user_id"), dictionary
 
 
-def small_classifier():
-    return M.BoostedClassifier(rounds=8, depth=3, max_features=64)
+def short_classifier():
+    return M.BoostedClassifier(rounds=4)
 
 
 @query("classifier_predictions")
 def classifier_predictions(t):
-    vectors, labels, _ = training_rows(t)
-    users = t.users.select(F.col("user_id").alias("row_id"), "user_id")
-    return M.classify(vectors, labels, small_classifier(), users, ALLOWED).select("user_id", "p_0", "p_1", "reported_label", "predicted_class")
+    cells, labels, users, _ = training_rows(t)
+    return M.classify(cells, labels, short_classifier(), users, ALLOWED).select(
+        "user_id", "p_0", "p_1", "reported_label", "predicted_class")
 
 
 @query("calibrated_predictions")
 def calibrated_predictions(t):
-    vectors, labels, _ = training_rows(t)
-    df = durable(vectors.join(labels, "row_id", "left"))
-    split = S.stratified_split(df.where(F.col("label").isNotNull()).select("row_id", "label"), 0.2, "label", "row_id", seed=7)
-    held = split.where(F.col("validation")).select("row_id")
-    classifier = small_classifier().fit(df.join(held, "row_id", "left_anti"))
-    classifier.calibrate(df.join(held, "row_id", "left_semi"))
-    return classifier.predict(df).drop("features")
+    cells, labels, users, _ = training_rows(t)
+    split = durable(S.stratified_split(labels, 0.2, "label", "row_id", seed=7))
+    classifier = short_classifier().fit(cells, split.where(~F.col("validation")))
+    classifier.calibrate(cells, split.where("validation"))
+    return classifier.predict(cells, users.join(labels, "row_id", "left")).drop("user_id")
 
 
 @query("feature_importance")
 def feature_importance(t):
-    vectors, labels, dictionary = training_rows(t)
-    classifier = small_classifier().fit(vectors.join(labels, "row_id", "left"))
-    return classifier.importances(dictionary)
+    cells, labels, _, dictionary = training_rows(t)
+    return short_classifier().fit(cells, labels).importances(dictionary)
 
 
 @query("cross_validation")
 def cross_validation(t):
-    vectors, labels, _ = training_rows(t)
-    return M.cross_validate(vectors.join(labels, "row_id", "left"), small_classifier, folds=3)
+    cells, labels, users, _ = training_rows(t)
+    return M.cross_validate(cells, users.join(labels, "row_id", "left"), short_classifier, folds=3)
+
+
+@query("stored_model", "SELECT user_id, true AS same FROM users", ["users"])
+def stored_model(t):
+    """A model written and read back gives the same probabilities."""
+    cells, labels, users, dictionary = training_rows(t)
+    classifier = short_classifier().fit(cells, labels)
+    path = scratch_path(t.spark, "model")
+    classifier.save(t.spark, path, features=dictionary, matrix=cells)
+    again = M.BoostedClassifier.load(t.spark, path).predict(t.spark.read.parquet(f"{path}/matrix"), users)
+    first = classifier.predict(cells, users).select("row_id", F.struct("p_0", "p_1", "predicted_class").alias("first"))
+    return again.join(first, "row_id").select("user_id", F.struct("p_0", "p_1", "predicted_class").eqNullSafe(F.col("first")).alias("same"))

@@ -10,6 +10,7 @@ from agorasift.functions import text as T
 from agorasift.functions import urls as U
 from agorasift.operators import columns as C
 from agorasift.operators import daily
+from agorasift.operators.durable import durable
 from agorasift.plans import views as V
 from agorasift.plans.registry import query
 
@@ -245,6 +246,6 @@ FROM (SELECT {1} AS v, min({1}) OVER () AS lo, max({1}) OVER () AS hi
 
 @query("frequency_histogram", _HISTOGRAM.format("raw", "f") + " UNION ALL " + _HISTOGRAM.format("log", "ln(f)"), ["doc_words"])
 def frequency_histogram(t):
-    words = daily.token_frequency(t.documents, T.tokenize(F.col("text")))
+    words = durable(daily.token_frequency(t.documents, T.tokenize(F.col("text"))))
     raw = C.frequency_histogram(words, "frequency").withColumn("scale", F.lit("raw"))
     return raw.unionByName(C.frequency_histogram(words, "frequency", log=True).withColumn("scale", F.lit("log")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,8 @@ def local_session(cpus: str = "8") -> SparkSession:
         .config("spark.driver.memory", os.environ.get("AGORASIFT_DRIVER_MEMORY", "10g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", os.environ.get("AGORASIFT_SHARED_DIR") or tempfile.mkdtemp(prefix="agorasift-"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

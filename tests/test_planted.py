@@ -110,32 +110,47 @@ def test_lda_separates_topics(spark):
     assert separates(rows.withColumnsRenamed({"0": "topic_0", "1": "topic_1"}).collect())
 
 
-def labelled_vectors(spark):
+def labelled_cells(spark):
     rng = random.Random(4)
-    cells = [(i, (i % 3) * 5 + rng.randrange(5), 1.0) for i in range(150) for _ in range(6)]
+    cells = [(i, (i % 3) * 5 + rng.randrange(5), 1.0) for i in range(150) for _ in range(6)] + [(i, 15, -1.0) for i in range(0, 150, 2)]
     cells = spark.createDataFrame(cells, "row_id long, feature_id long, value double").groupBy("row_id", "feature_id").agg(
         F.sum("value").alias("value"))
-    vectors = M.sparse_vectors(cells, 15, spark.range(151).withColumnRenamed("id", "row_id"))
     names = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("row_id") % 3 + 1).cast("int"))
-    return vectors.withColumn("label", F.when((F.col("row_id") % 5 != 0) & (F.col("row_id") < 150), names))
+    rows = spark.range(151).select(F.col("id").alias("row_id"))
+    return cells, rows.withColumn("label", F.when((F.col("row_id") % 5 != 0) & (F.col("row_id") < 150), names))
 
 
 def test_classifier_recovers_classes(spark, tmp_path):
-    df = labelled_vectors(spark)
-    classifier = M.BoostedClassifier(rounds=5, depth=2, max_features=10).fit(df)
-    rows = classifier.predict(df).collect()
+    cells, labels = labelled_cells(spark)
+    classifier = M.BoostedClassifier(rounds=5, depth=2, step=0.3).fit(cells, labels)
+    rows = classifier.predict(cells, labels).collect()
     assert len(rows) == 151
     assert all(abs(r.p_0 + r.p_1 + r.p_2 - 1) < 1e-9 for r in rows)
     assert np.mean([r.predicted_class == "abc"[r.row_id % 3] for r in rows if r.row_id < 150]) > 0.9
-    classifier.calibrate(df)
-    assert all(abs(r.p_0 + r.p_1 + r.p_2 - 1) < 1e-9 for r in classifier.predict(df).collect())
-    names = spark.range(15).select(F.col("id").alias("feature_id"))
+    classifier.calibrate(cells, labels)
+    found = {r.row_id: tuple(r) for r in classifier.predict(cells, labels).collect()}
+    assert all(abs(sum(r[2:5]) - 1) < 1e-9 for r in found.values())
+    names = spark.range(16).select(F.col("id").alias("feature_id"))
     assert abs(classifier.importances(names).agg(F.sum("importance")).first()[0] - 1) < 1e-6
-    classifier.save(str(tmp_path / "model"))
+    classifier.save(spark, str(tmp_path / "model"), features=names)
+    again = M.BoostedClassifier.load(spark, str(tmp_path / "model"))
+    assert again.classes == ["a", "b", "c"] and {r.row_id: tuple(r) for r in again.predict(cells, labels).collect()} == found
+
+
+def test_split_is_the_best_of_all_columns(spark):
+    """The first split of a tree against all cuts tried in plain Python, negative values and gaps included."""
+    rng = random.Random(9)
+    rows = [(i, {f: rng.choice([-2.0, -1.0, 1.0, 2.0]) for f in range(40) if rng.random() < 0.4}) for i in range(120)]
+    label = lambda v: "x" if v.get(7, 0.0) > -1.5 else "y"
+    cells = spark.createDataFrame([(i, f, x) for i, v in rows for f, x in v.items()], "row_id long, feature_id long, value double")
+    labels = spark.createDataFrame([(i, label(v)) for i, v in rows], "row_id long, label string")
+    model = M.BoostedClassifier(rounds=1, depth=1, validation_share=0.0).fit(cells, labels)
+    assert {(s.feature, s.cut) for s in model.splits} == {(7, -2.0)}
+    assert all(r.predicted_class == r.label for r in model.predict(cells, labels).collect())
 
 
 def test_cross_validation_reports(spark):
-    reports = M.cross_validate(labelled_vectors(spark), lambda: M.BoostedClassifier(rounds=3, depth=2), folds=2)
+    reports = M.cross_validate(*labelled_cells(spark), lambda: M.BoostedClassifier(rounds=3, depth=2), folds=2)
     assert {r.fold for r in reports.where(F.col("class") == "accuracy").collect()} == {0, 1}
     assert reports.agg(F.min("f1")).first()[0] > 0.5
 
@@ -183,3 +198,12 @@ def test_log_odds_sign(spark):
     found = {(r["class"], r.feature_id): r.score for r in S.log_odds(vectors, ["x", "y"]).collect()}
     assert found[("x", 0)] > 2 and found[("y", 1)] > 0 and found[("x", 1)] < 0
     assert abs(found[("x", 0)] + found[("y", 0)]) < 1e-9
+
+
+def test_forest_sees_a_small_component(spark):
+    """Members of a rare component stand out by it alone, without a column of its own."""
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x), 1 << 60 if i < 3 else 7) for i, x in enumerate(rng.normal(size=400))]
+    scored = A.isolation_scores(spark.createDataFrame(rows, "user_id long, a double, c long"), trees=60, sample=128, categories=["c"])
+    found = {r.user_id: r.score for r in scored.collect()}
+    assert np.mean([found[i] for i in range(3)]) < np.median([found[i] for i in range(3, 400)])
