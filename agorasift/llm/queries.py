@@ -157,7 +157,28 @@ def simhash_dedup(spark: SparkSession, root: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op3_decontaminate")
+_BENCH_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+LEAK_SQL = f"""
+WITH docs AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents), items AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (
+    SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (
+    SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n)
+), found AS (SELECT p.doc_id, p.i, p.n, w.item FROM places p JOIN windows w ON w.n = p.n AND w.win = p.win),
+hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS told FROM (
+  SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items,
+  sha256(coalesce(m.told, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id
+""".replace(" AS at ", " AS place ").replace("DISTINCT at)", "DISTINCT place)")
+
+
+@query("op3_decontaminate", LEAK_SQL)
 def decontaminate_query(spark: SparkSession, root: str) -> DataFrame:
     """Words of every document that stand in a window of a benchmark item."""
     docs = table(spark, root, "documents").select("doc_id", "text")
@@ -180,7 +201,27 @@ def secret_scan(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told("found").alias("spans"))
 
 
-@query("op10_suffix_dedup")
+REPEAT_SQL = """
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS t, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (SELECT doc_id, i, md5(t[i:i + 399]) AS h FROM (SELECT doc_id, t, unnest(range(1, n - 398)) AS i FROM docs WHERE n >= 400)),
+often AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT doc_id, i FROM windows WHERE h IN (SELECT h FROM often)),
+marked AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM starts),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS b FROM numbered GROUP BY doc_id, run),
+totals AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id),
+edges AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a) + 1, 1) AS a, a - 1 AS b FROM runs
+  UNION ALL SELECT d.doc_id, coalesce(max(r.b) + 1, 1), max(d.n) FROM docs d LEFT JOIN runs r ON r.doc_id = d.doc_id GROUP BY d.doc_id),
+kept AS (SELECT e.doc_id, unhex(coalesce(string_agg(hex(d.t[e.a:e.b]), '' ORDER BY e.a) FILTER (WHERE e.b >= e.a), '')) AS k
+  FROM edges e JOIN docs d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed, coalesce(t.n_spans, 0) AS n_spans,
+  sha256(k.k) AS kept_sha256
+FROM docs d JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN totals t ON t.doc_id = d.doc_id
+"""
+
+
+@query("op10_suffix_dedup", REPEAT_SQL)
 def suffix_dedup_query(spark: SparkSession, root: str) -> DataFrame:
     """All documents without byte strings of 400 that stand elsewhere too."""
     cut = suffix_dedup.drop_repeated(table(spark, root, "documents").select("doc_id", "text"))
