@@ -313,7 +313,7 @@ def training_rows(t):
 
 
 def short_classifier():
-    return M.BoostedClassifier(rounds=4)
+    return M.BoostedClassifier(rounds=2)
 
 
 @query("classifier_predictions")
@@ -341,7 +341,7 @@ def feature_importance(t):
 @query("cross_validation")
 def cross_validation(t):
     cells, labels, users, _ = training_rows(t)
-    return M.cross_validate(cells, users.join(labels, "row_id", "left"), short_classifier, folds=3)
+    return M.cross_validate(cells, users.join(labels, "row_id", "left"), short_classifier, folds=2)
 
 
 @query("stored_model", "SELECT user_id, true AS same FROM users", ["users"])
