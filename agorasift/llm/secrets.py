@@ -21,7 +21,8 @@ class Kind:
     (in either case); ``pattern`` is matched at their hits alone.  Where
     ``run`` is given instead, matches are maximal runs of the characters that
     ``run`` maps to a word character, and the keyword is ``least`` of them.
-    ``valid`` drops failing matches after they were passed over.
+    ``valid`` drops failing matches after they were passed over.  A pattern
+    must not read a long run again from each hit inside it.
     """
 
     name: str
@@ -61,7 +62,7 @@ KINDS = (
     Kind("hex", re.compile(rb"[0-9a-f]+"), run=b"0123456789abcdef", least=24),
     Kind("issued", re.compile(rb"(ghp|gho|ghu|ghs|ghr|npm)_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
          ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"), valid=crc_token),
-    Kind("signed", re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"), ("eyj",)),
+    Kind("signed", re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"), ("eyj",)),
     Kind("key", re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"), ("-----begin ",)),
     Kind("card", re.compile(rb"[0-9]+"), run=b"0123456789", least=13,
          valid=lambda m: len(m.group()) <= 19 and luhn(m.group())),

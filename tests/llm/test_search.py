@@ -107,6 +107,13 @@ def test_checked_secrets():
     assert names("-----BEGIN RSA PRIVATE KEY-----") == ["key"]
 
 
+def test_long_runs_are_read_once():
+    scanner = secrets.Scanner()
+    assert scanner.spans(b"eyJ" * 400_000) == []
+    body = b"eyJ" + b"a" * 8 + b".eyJ" + b"b" * 8 + b"." + b"c" * 16
+    assert [s[:2] for s in scanner.spans(b"x " + body)] == [(2, 2 + len(body))]
+
+
 def test_suffix_query(spark, small, small_docs):
     got = QUERIES["op10_suffix_dedup"](spark, small)
     want = [(d, *r) for (d, _), r in zip(small_docs, brute.repeated_bytes([t for _, t in small_docs], 400), strict=True)]
