@@ -10,7 +10,16 @@ from agorasift.llm.storage import fresh, row_key, stored
 from agorasift.operators.ranking import number_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_DIGITS = 3  # leading hex digits of the hash key: 4096 ranges in each source
+LEAST_DIGITS = 3  # leading hex digits of the hash key that make a range: 4096 ranges in each source, or more
+RANGE_ROWS = 65_536  # rows of a range at most, were all rows of one source
+
+
+def range_digits(rows: int) -> int:
+    """Digits that keep a range at ``RANGE_ROWS`` rows or below; the result of a mix does not depend on them."""
+    digits = LEAST_DIGITS
+    while rows > RANGE_ROWS << 4 * digits and digits < 32:
+        digits += 1
+    return digits
 
 
 def n_words(text: Column) -> Column:
@@ -62,14 +71,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most_epochs: int =
     of values is fixed; an empty table or one without words takes nothing.
 
     A source that holds a third of all rows is spread over its key ranges, so
-    no window or join sees more than one range of one source together.
+    no window or join sees more than one range of one source together.  The
+    number of ranges follows the number of rows (``range_digits``); a running
+    sum over the ranges of a source sees one row per range.
     """
     first, second = row_key(F.col("doc_id"), F.col("text"))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(seed))))
     name, none = F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none")
     sized = docs.select("doc_id", "source", name, none, n_words(F.col("text")).alias("size"), first.alias("k1"),
                         second.alias("k2"), key.alias("key"))
-    sized = stored(sized.withColumn("range", F.substring("key", 1, BUCKET_DIGITS)), "sizes")
+    sized = stored(sized, "sizes")
+    sized = sized.withColumn("range", F.substring("key", 1, range_digits(sized.count())))
     ranges = sized.groupBy("name", "none", "range").agg(F.sum("size").alias("words"))
     whole = Window.partitionBy("name", "none")
     before = F.sum("words").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))

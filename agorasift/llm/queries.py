@@ -169,13 +169,13 @@ places AS (
   SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM (
     SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, lengths WHERE len(w) >= n)
 ), found AS (SELECT p.doc_id, p.i, p.n, w.item FROM places p JOIN windows w ON w.n = p.n AND w.win = p.win),
-hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM found) GROUP BY doc_id),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS told FROM (
   SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items,
   sha256(coalesce(m.told, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
 FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN named m ON m.doc_id = d.doc_id
-""".replace(" AS at ", " AS place ").replace("DISTINCT at)", "DISTINCT place)")
+"""
 
 
 @query("op3_decontaminate", LEAK_SQL)

@@ -104,6 +104,15 @@ def test_mix_odd_rows(spark, odd_docs):
     assert mixing.mix(odd_docs.where("text IS NULL")).agg({"taken": "max"}).first()[0] == 0
 
 
+def test_mix_does_not_depend_on_its_ranges(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    before = sorted(map(tuple, mixing.mix(docs).select("doc_id", "taken").collect()))
+    monkeypatch.setattr(mixing, "LEAST_DIGITS", 0)
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
+    assert mixing.range_digits(200) == 2 and mixing.range_digits(10) == 0
+    assert sorted(map(tuple, mixing.mix(docs).select("doc_id", "taken").collect())) == before
+
+
 def test_native_plans_run_no_python(spark, small):
     for name in ("op1_chat_format", "op4_mix_sources", "op8_line_dedup"):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
