@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_GROUPS = ("ingest", "stream", "text", "days", "experiment", "labels", "scoring", "analysis", "topics")
+_GROUPS = ("ingest", "stream", "text", "days", "experiment", "labels", "scoring", "analysis", "topics", "checks")
 
 
 def load_all() -> None:
