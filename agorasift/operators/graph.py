@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from agorasift.operators.durable import durable
@@ -84,21 +86,108 @@ def _until_stable(state: DataFrame, step, measure) -> DataFrame:
         before = after
 
 
+@dataclass(frozen=True)
+class Fold:
+    """Nodes with one way on, taken out of a graph, and how to judge them later."""
+
+    nodes: DataFrame  # node
+    links: DataFrame  # src, dst among the other nodes
+    done: DataFrame  # node, component of folded nodes that never get back to the others
+    chained: DataFrame  # node, root: the first node outside the fold on the way on
+    entries: DataFrame  # outside, node, root: links from outside into the fold
+    jumps: list[DataFrame]  # node, to: 1, 2, 4, ... steps on
+
+
+def _fold(links: DataFrame, ahead: str, behind: str) -> Fold | None:
+    """Folds chains, in rounds that follow the logarithm of their length.
+
+    A node with a single link ``behind -> ahead`` has one way on.  Pointers
+    along such ways are doubled until they leave the fold.  Those that never
+    do lead into a ring without an exit: the ring is one component, and what
+    leads into it is alone.  Other nodes take the links into a chain at its root.
+    """
+    ways = links.groupBy(F.col(behind).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min(ahead).alias("to"))
+    single = durable(ways.where(F.col("n") == 1).select("node", "to"))
+    size = single.count()
+    if size == 0:
+        return None
+    state = single.withColumn("least", F.col("node"))
+    jumps, stride = [single], 1
+    while stride < size:
+        further = state.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        state = durable(state.join(further, "to", "left").select(
+            "node", F.coalesce("_to", "to").alias("to"), F.least("least", "_least").alias("least"), F.col("_to").isNotNull().alias("moved")))
+        if state.where("moved").isEmpty():
+            break
+        state = state.drop("moved")
+        jumps.append(state.select("node", "to"))
+        stride *= 2
+    inner = single.select("node")
+    targets = inner.withColumnRenamed("node", "to")
+    endless = durable(state.join(targets, "to", "left_semi").select("node", "to", "least"))
+    ring = durable(endless.select(F.col("to").alias("node")).distinct())
+    done = durable(endless.join(ring, "node", "left_semi").select("node", F.col("least").alias("component")).unionByName(
+        endless.join(ring, "node", "left_anti").select("node", F.col("node").alias("component"))))
+    chained = durable(state.join(targets, "to", "left_anti").select("node", F.col("to").alias("root")))
+    outside = durable(links.join(inner.withColumnRenamed("node", behind), behind, "left_anti").select(
+        F.col(behind).alias("outside"), F.col(ahead).alias("node")))
+    entries = durable(outside.join(chained, "node"))
+    kept = outside.join(inner, "node", "left_anti").select("outside", "node")
+    moved = kept.unionByName(entries.select("outside", F.col("root").alias("node"))).where(F.col("outside") != F.col("node"))
+    rest = durable(moved.distinct().select(F.col("outside").alias(behind), F.col("node").alias(ahead)))
+    return Fold(inner, rest.select("src", "dst"), done, chained, entries, jumps)
+
+
+def _unfold(found: DataFrame, fold: Fold) -> DataFrame:
+    """Components with those of the folded nodes.
+
+    A folded node belongs to its root's component if a chain through it is
+    entered from that component; such marks move on along the doubled
+    pointers.  Else it is alone.
+    """
+    own = found.select(F.col("node").alias("outside"), F.col("component").alias("_from"))
+    root = found.select(F.col("node").alias("root"), F.col("component").alias("_root"))
+    marks = durable(fold.entries.join(own, "outside").join(root, "root").where(F.col("_from") == F.col("_root")).select("node").distinct())
+    for jump in fold.jumps:
+        onward = jump.join(marks, "node", "left_semi").select(F.col("to").alias("node")).join(fold.nodes, "node", "left_semi")
+        marks = durable(marks.unionByName(onward).distinct())
+    marked = marks.withColumn("_in", F.lit(True))
+    judged = fold.chained.join(root, "root").join(marked, "node", "left").select(
+        "node", F.when(F.col("_in"), F.col("_root")).otherwise(F.col("node")).alias("component"))
+    return durable(found.unionByName(fold.done).unionByName(judged))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of the directed graph, named after the smallest node.
 
-    Colour propagation: each node takes the largest node that reaches it; the
-    nodes of a colour that reach its owner backwards are one component; they
-    are taken out and the rest goes on.
+    Chains are folded first, forwards and backwards, so long paths and rings
+    take rounds in the logarithm of their length.  The rest is coloured: each
+    node takes the largest node that reaches it; the nodes of a colour that
+    reach its owner backwards are one component; they are taken out and the
+    rest goes on.
     """
     nodes = durable(graph_nodes(edges))
     links = durable(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    folds = []
+    for ahead, behind in (("dst", "src"), ("src", "dst")):
+        fold = _fold(links, ahead, behind)
+        if fold is not None:
+            folds.append(fold)
+            links, nodes = fold.links, durable(nodes.join(fold.nodes, "node", "left_anti"))
+    found = _coloured(nodes, links)
+    for fold in reversed(folds):
+        found = _unfold(found, fold)
+    names = durable(found.groupBy("component").agg(F.min("node").alias("_name")))
+    return durable(found.join(names, "component").select("node", F.col("_name").alias("component")))
+
+
+def _coloured(nodes: DataFrame, links: DataFrame) -> DataFrame:
     done = None
     while True:
         # nodes without an edge in or out are components of their own
         inner = links.select(F.col("src").alias("node")).intersect(links.select(F.col("dst").alias("node")))
         single = nodes.join(inner, "node", "left_anti").select("node", F.col("node").alias("component"))
-        done = single if done is None else done.unionByName(single)
+        done = durable(single if done is None else done.unionByName(single))
         nodes = durable(nodes.join(inner, "node", "left_semi"))
         kept = durable(_inside(links, nodes))
         shrunk = kept.count() < links.count()
@@ -106,7 +195,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         if shrunk:
             continue
         if nodes.isEmpty():
-            break
+            return done
 
         def spread(colours: DataFrame) -> DataFrame:
             reached = links.join(colours.withColumnRenamed("node", "src"), "src").select(
@@ -133,7 +222,6 @@ def strong_components(edges: DataFrame) -> DataFrame:
         nodes = durable(nodes.join(members.select("node"), "node", "left_anti"))
         # edges between colours cannot lie on a cycle
         links = durable(_inside(same.select("src", "dst"), nodes))
-    return durable(done)
 
 
 def _inside(links: DataFrame, nodes: DataFrame) -> DataFrame:

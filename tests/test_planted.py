@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from agorasift.functions import geo
@@ -43,9 +44,7 @@ def test_weak_components_match_union_find(spark):
     assert found == components_by_hand(edges)
 
 
-def test_strong_components_match_reachability(spark):
-    rng = random.Random(5)
-    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(60)]
+def strong_by_hand(edges):
     reach = {n: {n} for e in edges for n in e}
     changed = True
     while changed:
@@ -55,9 +54,33 @@ def test_strong_components_match_reachability(spark):
                 if a in reach[n] and b not in reach[n]:
                     reach[n].add(b)
                     changed = True
-    want = {a: min(b for b in reach[a] if a in reach[b]) for a in reach}
-    found = {r.node: r.component for r in G.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
-    assert found == want
+    return {a: min(b for b in reach[a] if a in reach[b]) for a in reach}
+
+
+def strong_found(spark, edges):
+    return {r.node: r.component for r in G.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+
+
+@pytest.mark.parametrize("seed, nodes, links", [(6, 60, 66), (8, 25, 60)])
+def test_strong_components_match_reachability(spark, seed, nodes, links):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(links)]
+    edges += [(100 + i, 100 + (i + 1) % 9) for i in range(9)]  # a ring without an exit, and a way into it
+    edges += [(90, 95), (95, 104), (0, 90)]
+    edges += [(200 + i, 201 + i) for i in range(7)] + [(207, 203), (207, 1), (2, 205), (209, 200)]  # a chain that comes back
+    assert strong_found(spark, edges) == strong_by_hand(edges)
+
+
+def test_strong_components_of_chains_take_few_jobs(spark):
+    jobs = {}
+    for n in (50, 200):
+        ring, path = [(i, (i + 1) % n) for i in range(n)] + [(0, 5000)], [(1000 + i, 1001 + i) for i in range(n)]
+        spark.sparkContext.setJobGroup(f"chain-{n}", "chain")
+        found = strong_found(spark, ring + path)
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain-{n}"))
+        assert all(found[i] == 0 for i in range(n)) and all(found[1000 + i] == 1000 + i for i in range(n + 1)) and found[5000] == 5000
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[200] < 1.6 * jobs[50]
 
 
 def test_two_blocks_are_found(spark):
