@@ -12,12 +12,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from agorasift.llm.arrow import map_texts
 from agorasift.llm.storage import fresh, row_key, stored
+from agorasift.operators.ranking import number_rows
 
-SAMPLE = 20_000  # labelled texts that the text model counts, at most
-LEAST_TEXTS = 20  # of a language in the sample, for it to be known
+SAMPLE = 20_000  # labelled texts of each language that the text model counts, at most
 CELLS = 1 << 16  # of the table of hashed strings of three bytes
 GRAMS_AT_ONCE = 1 << 20
+SMOOTHING = 0.05  # added to the count of each cell
 TEMPER = 0.25  # neighbouring strings overlap; their evidence is not independent
+SPREADS = 2.0  # by which a text's mean may lie below that of its language, in standard deviations of one string
+UNIFORM_TIMES = 2.0  # a string of a known language is so many times likelier than a uniform draw of a cell, at least
+UNKNOWN_PRIOR = 1e-3  # of an unlisted language, against a known one
 PRIOR_WEIGHT = 5.0  # observations that the level above is worth
 UNKNOWN = "und"
 
@@ -35,31 +39,54 @@ def gram_cells(text: bytes) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class TextModel:
-    """Log-probability of each cell in each language; (cells, languages)."""
+    """Log-probability of each cell in each language, (cells, languages), and the mean below which a text is in none."""
 
     languages: tuple[str, ...]
     table: np.ndarray
-
-    def evidence(self, text: bytes) -> list[float] | None:
-        """Log-likelihood per language of the whole text; none without letters."""
+    bounds: np.ndarray
+
+    @classmethod
+    def of_counts(cls, languages: Sequence[str], counts: np.ndarray) -> TextModel:
+        """Probabilities of counted cells; bounds from what each counted string has without itself."""
+        n, cells = counts.sum(0), len(counts)
+        table = np.log((counts + SMOOTHING) / (n + SMOOTHING * cells))
+        left = np.log((np.maximum(counts - 1, 0) + SMOOTHING) / (np.maximum(n - 1, 0) + SMOOTHING * cells))
+        share = counts / np.maximum(n, 1)
+        mean = (share * left).sum(0)
+        spread = np.sqrt((share * (left - mean) ** 2).sum(0))
+        bounds = np.maximum(mean - SPREADS * spread, np.log(UNIFORM_TIMES / cells))
+        return cls(tuple(languages), table.astype(np.float32), bounds)
+
+    def evidence(self, text: bytes) -> tuple[list[float] | None, float | None]:
+        """Tempered log-likelihood of the whole text per language, and for none of them; none without letters.
+
+        All are relative to the likeliest language.  An unlisted language makes
+        strings as likely as the bound of that language.
+        """
         total, n = np.zeros(len(self.languages)), 0
         for cells in gram_cells(text):
             total += np.bincount(cells, minlength=CELLS) @ self.table if len(cells) > CELLS else self.table[cells].sum(0, dtype=float)
             n += len(cells)
-        return (TEMPER * (total - total.max())).tolist() if n else None
+        if not n:
+            return None, None
+        best = int(total.argmax())
+        none = float(np.log(UNKNOWN_PRIOR) + TEMPER * (n * self.bounds[best] - total[best]))
+        return (TEMPER * (total - total[best])).tolist(), none
 
 
 def train(docs: DataFrame, label: str = "lang", most: int = SAMPLE) -> TextModel:
-    """Counts over at most ``most`` labelled texts, those first in hash order of the id.
+    """Counts over at most ``most`` labelled texts of each language, those first in hash order of the id.
 
-    Counting is a grouped aggregate; the driver gets one table of fixed size
-    per language with ``LEAST_TEXTS`` texts or more.
+    Every label makes a known language; one with few texts is smoothed, not
+    dropped.  Counting is a grouped aggregate; the driver gets one table of
+    fixed size per language.
     """
     ids = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    ids = ids.select("doc_id", F.col(label).alias("language")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    ids = stored(ids, "language-sample")
-    known = [r[0] for r in ids.groupBy("language").count().where(F.col("count") >= LEAST_TEXTS).orderBy("language").collect()]
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids.where(F.col("language").isin(known)).distinct()), "doc_id")
+    ids = ids.select("doc_id", F.col(label).alias("language")).distinct()
+    ids = number_rows(ids, [F.xxhash64("doc_id"), F.col("doc_id")], "place", within=["language"])
+    ids = stored(ids.where(F.col("place") < most).select("doc_id", "language"), "language-sample")
+    known = [r[0] for r in ids.select("language").distinct().orderBy("language").collect()]
+    sample = docs.select("doc_id", "text").join(ids, "doc_id")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {name: np.zeros(CELLS, np.int64) for name in known}
@@ -77,8 +104,7 @@ def train(docs: DataFrame, label: str = "lang", most: int = SAMPLE) -> TextModel
     table = np.zeros((CELLS, len(known)))
     for row in counted.groupBy("language", "cell").agg(F.sum("n").alias("n")).collect():
         table[row["cell"], known.index(row["language"])] = row["n"]
-    table = np.log((table + 0.5) / (table.sum(0) + 0.5 * CELLS))
-    return TextModel(tuple(known), table.astype(np.float32))
+    return TextModel.of_counts(known, table)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -147,9 +173,10 @@ def identify(docs: DataFrame, evidence: DataFrame, model: TextModel, least: floa
     k1, k2 = row_key(F.col("doc_id"), F.col("text"))
     keyed = docs.select("doc_id", "source", "text", k1.alias("k1"), k2.alias("k2"))
     read = map_texts(keyed, "text", ["doc_id", "source", "k1", "k2"],
-                     T.StructType([T.StructField("text_log", T.ArrayType(T.DoubleType()))]),
-                     lambda: lambda text: (model.evidence(text) if languages else None,))
-    best = F.array_position("text_log", F.array_max("text_log")).cast("int")
+                     T.StructType([T.StructField("text_log", T.ArrayType(T.DoubleType())), T.StructField("none_log", T.DoubleType())]),
+                     lambda: lambda text: model.evidence(text) if languages else (None, None))
+    likeliest = F.array_position("text_log", F.array_max("text_log")).cast("int")
+    best = likeliest
     read = stored(read.withColumn("best", best), "text-evidence")
     one = evidence.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min_by(F.struct("host", "declared"), F.struct("page_id", "host", "declared")).alias("page"))
