@@ -159,7 +159,9 @@ def identify(docs: DataFrame, evidence: DataFrame, model: TextModel, least: floa
     ``PRIOR_WEIGHT`` observations each.
 
     A document is rejected (language ``und``) if its text has no letters, or
-    no language reaches ``least``.  Defined cases: null and empty texts are
+    no language reaches ``least``; none does where an unlisted language is
+    likelier than the known ones by the text (``TextModel.evidence``), as in
+    foreign texts or noise of letters.  A few words are too little for that.  Defined cases: null and empty texts are
     rejected; missing evidence says nothing; equal probabilities go to the
     language first by code point; null ids have no page; repeated rows are
     judged alike; an empty table gives an empty table; without any known
@@ -176,7 +178,7 @@ def identify(docs: DataFrame, evidence: DataFrame, model: TextModel, least: floa
                      T.StructType([T.StructField("text_log", T.ArrayType(T.DoubleType())), T.StructField("none_log", T.DoubleType())]),
                      lambda: lambda text: model.evidence(text) if languages else (None, None))
     likeliest = F.array_position("text_log", F.array_max("text_log")).cast("int")
-    best = likeliest
+    best = F.when(F.col("none_log") <= 0, likeliest)  # texts in none of the languages are not counted
     read = stored(read.withColumn("best", best), "text-evidence")
     one = evidence.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.min_by(F.struct("host", "declared"), F.struct("page_id", "host", "declared")).alias("page"))
@@ -213,7 +215,9 @@ def identify(docs: DataFrame, evidence: DataFrame, model: TextModel, least: floa
     joined = joined.withColumn("total", total).withColumn("top", F.array_max("total"))
     weight = F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     name = F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("total", F.col("top")).cast("int"))
-    judged = joined.withColumn("probability", F.coalesce(1.0 / weight, F.lit(0.0)))
+    # no other evidence speaks for or against an unlisted language; its odds are the text's
+    listed = 1.0 / (1.0 + F.exp(F.least("none_log", F.lit(700.0))))
+    judged = joined.withColumn("probability", F.coalesce(listed / weight, F.lit(0.0)))
     accepted = F.col("probability") >= least
     text_lang = F.when(F.col("best").isNotNull(), F.element_at(F.array(*[F.lit(x) for x in languages]), F.col("best")))
     return judged.select(

@@ -35,6 +35,7 @@ def test_rare_language_and_unlisted_texts(spark):
     both = docs.unionByName(spark.createDataFrame(added, docs.schema))
     given = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", F.col("lang").alias("given"))
     rows = language.identify(both, evidence, model).join(given, "doc_id", "left").collect()
+    assert not any(r["accepted"] for r in rows if r["doc_id"] < 0) and sum(r["doc_id"] < 0 for r in rows) == len(added)
     clean = [r for r in rows if r["doc_id"] >= 0]
     assert sum(r["lang"] == r["given"] for r in clean) >= 0.99 * len(clean)
     spanish = [r for r in clean if r["given"] == "es"]
