@@ -79,7 +79,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
                 windows += [w.decode() for w in found]
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(windows, pa.string())], ["item_id", "window"])
 
-    return read.mapInArrow(work, "item_id string, window string").where("item_id IS NOT NULL").distinct()
+    return read.mapInArrow(work, "item_id string, window string").distinct()
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, per_block: int = WINDOWS_PER_BLOCK) -> DataFrame:
@@ -92,7 +92,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, per_
     never shuffled.
 
     Defined cases: a null or empty text has no words, as document or as item;
-    an item with a null id is left out; repeated items share their windows;
+    windows of an item with a null id hit, but it is not among the items;
+    repeated items share their windows;
     an empty benchmark hits nothing; repeated rows are judged alike; columns
     of ``docs`` with the names of results keep them, results get a leading
     underscore.
@@ -107,7 +108,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, per_
         by_length: dict[int, dict[tuple[bytes, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
         for row in windows.where(block == at).toLocalIterator():
             pattern = tuple(row["window"].encode().split(b" "))
-            by_length[len(pattern)][pattern].append(row["item_id"])
+            ids = by_length[len(pattern)][pattern]
+            if row["item_id"] is not None:
+                ids.append(row["item_id"])
         patterns = docs.sparkSession.sparkContext.broadcast([dict(p) for p in by_length.values()])
         found = _search(found, patterns, n_words, hits, items)
     return found
