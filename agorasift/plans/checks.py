@@ -35,7 +35,7 @@ WITH {_LABEL} SELECT user_id, label AS reported_label, true AS sums_to_one, true
 def classifier_rules(t):
     """Probabilities sum to one; a known label stays, a weak best class is not disclosed, allowed accounts are no noise."""
     cells, labels, users, _ = scoring.training_rows(t)
-    classifier = scoring.short_classifier()
+    classifier = scoring.boosted_classifier()
     found = M.classify(cells, labels, classifier, users, ALLOWED)
     scores = _scores(found)
     best = F.greatest(*scores)

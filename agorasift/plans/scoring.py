@@ -312,14 +312,14 @@ def training_rows(t):
     return cells, labels, t.users.select(F.col("user_id").alias("row_id"), "user_id"), dictionary
 
 
-def short_classifier():
-    return M.BoostedClassifier(rounds=2)
+def boosted_classifier():
+    return M.BoostedClassifier()
 
 
 @query("classifier_predictions")
 def classifier_predictions(t):
     cells, labels, users, _ = training_rows(t)
-    return M.classify(cells, labels, short_classifier(), users, ALLOWED).select(
+    return M.classify(cells, labels, boosted_classifier(), users, ALLOWED).select(
         "user_id", "p_0", "p_1", "reported_label", "predicted_class")
 
 
@@ -327,7 +327,7 @@ def classifier_predictions(t):
 def calibrated_predictions(t):
     cells, labels, users, _ = training_rows(t)
     split = durable(S.stratified_split(labels, 0.2, "label", "row_id", seed=7))
-    classifier = short_classifier().fit(cells, split.where(~F.col("validation")))
+    classifier = boosted_classifier().fit(cells, split.where(~F.col("validation")))
     classifier.calibrate(cells, split.where("validation"))
     return classifier.predict(cells, users.join(labels, "row_id", "left")).drop("user_id")
 
@@ -335,20 +335,20 @@ def calibrated_predictions(t):
 @query("feature_importance")
 def feature_importance(t):
     cells, labels, _, dictionary = training_rows(t)
-    return short_classifier().fit(cells, labels).importances(dictionary)
+    return boosted_classifier().fit(cells, labels).importances(dictionary)
 
 
 @query("cross_validation")
 def cross_validation(t):
     cells, labels, users, _ = training_rows(t)
-    return M.cross_validate(cells, users.join(labels, "row_id", "left"), short_classifier, folds=2)
+    return M.cross_validate(cells, users.join(labels, "row_id", "left"), boosted_classifier)
 
 
 @query("stored_model", "SELECT user_id, true AS same FROM users", ["users"])
 def stored_model(t):
     """A model written and read back gives the same probabilities."""
     cells, labels, users, dictionary = training_rows(t)
-    classifier = short_classifier().fit(cells, labels)
+    classifier = boosted_classifier().fit(cells, labels)
     path = scratch_path(t.spark, "model")
     classifier.save(t.spark, path, features=dictionary, matrix=cells)
     again = M.BoostedClassifier.load(t.spark, path).predict(t.spark.read.parquet(f"{path}/matrix"), users)
