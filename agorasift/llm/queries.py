@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from agorasift.llm import (
-    chat, decontaminate, language, line_dedup, mixing, quality_gam, quality_rules, secrets, simhash, suffix_dedup, textstats,
+    chat, decontaminate, divergence, language, line_dedup, mixing, prints, quality_gam, quality_rules, resampling, secrets, simhash,
+    suffix_dedup, textstats,
 )
+from agorasift.llm.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -252,3 +254,125 @@ def quality_rules_query(spark: SparkSession, root: str) -> DataFrame:
     """Base counts of every document and the verdict of learned rules."""
     docs = table(spark, root, "documents").select("doc_id", "text")
     return quality_rules.judge(docs, quality_rules.train(docs, table(spark, root, "labels")))
+
+
+_LOWER = "translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+DRAW_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_BENCH_WORDS} AS w FROM documents),
+items AS (SELECT {_BENCH_WORDS} AS w FROM benchmark),
+doc_words AS (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(w) AS word FROM docs) GROUP BY ALL),
+item_words AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM items) GROUP BY ALL),
+words AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM doc_words UNION SELECT word FROM item_words)),
+crcs AS (
+  SELECT word, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda d, z: xor(d >> 1, 3988292384 * (d & 1))))) % 10000 AS bucket
+  FROM words),
+source AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS s FROM doc_words JOIN crcs USING (word) GROUP BY 1),
+target AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS t FROM item_words JOIN crcs USING (word) GROUP BY 1),
+gains AS (
+  SELECT b AS bucket, CAST(floor(1000 * ln(
+    ((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM source) + 10000))::DOUBLE
+    / ((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(t), 0) FROM target) + 10000))::DOUBLE)) AS BIGINT) AS gain
+  FROM range(10000) r(b) LEFT JOIN source ON source.bucket = b LEFT JOIN target ON target.bucket = b),
+sums AS (SELECT row, CAST(sum(n * gain) AS BIGINT) AS total FROM doc_words JOIN crcs USING (word) JOIN gains USING (bucket) GROUP BY row),
+weighed AS (
+  SELECT doc_id, len(w) AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE
+    (total - ((total % len(w)) + len(w)) % len(w)) // len(w) END AS weight,
+    CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h
+  FROM docs LEFT JOIN sums ON sums.row = docs.row),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+    count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query("op11_importance_resampling", DRAW_SQL)
+def importance_resampling(spark: SparkSession, root: str) -> DataFrame:
+    """Weight and score of every document towards the benchmark, and the rank of those drawn."""
+    drawn = resampling.resample(table(spark, root, "documents").select("doc_id", "text"), table(spark, root, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+AUDIT_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.format(text="text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (SELECT row, lang, source, term, count(*) AS n FROM (SELECT row, lang, source, unnest(w) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(*) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, sum(n) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+own AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)::HUGEINT) // ((sum(n) OVER (PARTITION BY lang, source))::HUGEINT + 5 * v) AS p
+  FROM grid JOIN sizes USING (lang)),
+whole AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)::HUGEINT) // ((sum(n) OVER (PARTITION BY lang))::HUGEINT + 5 * v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM grid GROUP BY ALL) JOIN sizes USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(sum(abs(x.p - y.p)), 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN own x ON x.lang = a.lang AND x.source = a.source LEFT JOIN own y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL),
+over AS (SELECT lang, source, term AS item, CAST(p - q AS BIGINT) AS value FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL BY NAME
+  SELECT * FROM (SELECT *, 'term' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM over) WHERE rank <= 50)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked
+"""
+
+
+@query("op12_source_divergence", AUDIT_SQL)
+def source_divergence(spark: SparkSession, root: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that each source overuses."""
+    return divergence.audit(table(spark, root, "documents").select("lang", "source", "text"))
+
+
+_VOTES = ", ".join(f"sum(CASE WHEN (h >> {b}) & 1 = 1 THEN k ELSE -k END) > 0 AS b{b}" for b in range(64))
+_PRINT = " + ".join(f"CASE WHEN b{b} THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END" for b in range(64))
+PRINT_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS row, doc_id, coalesce(text, '') AS text FROM documents),
+pairs AS (
+  SELECT row, doc_id, text, coalesce(lead(text) OVER (ORDER BY row), first_value(text) OVER (ORDER BY row)) AS other,
+    coalesce(lead(row) OVER (ORDER BY row), 1) AS next_row, length(text) // 3 AS cut FROM docs),
+changed AS (SELECT *, substr(text, 1, length(text) - cut) || substr(other, 1, cut) AS edited FROM pairs),
+texts AS (SELECT row, 0 AS kind, text AS t FROM changed UNION ALL SELECT row, 1, edited FROM changed),
+words AS (
+  SELECT row, kind, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (
+    SELECT row, kind, regexp_extract_all({_LOWER.format(text="t")}, '[^\x20\x09-\x0D]+') AS w FROM texts)),
+hashed AS (SELECT row, kind, pos, md5_number_lower(word) AS h FROM words),
+terms AS (
+  SELECT row, kind, h FROM hashed UNION ALL
+  SELECT row, kind, CAST((before::UHUGEINT * 1000003 + h) % 18446744073709551616::UHUGEINT AS UBIGINT) FROM (
+    SELECT row, kind, h, lag(h) OVER (PARTITION BY row, kind ORDER BY pos) AS before FROM hashed) WHERE before IS NOT NULL),
+weighed AS (SELECT row, kind, h, length(bin(count(*))) AS k FROM terms GROUP BY ALL),
+votes AS (SELECT row, kind, {_VOTES} FROM weighed GROUP BY row, kind),
+found AS (SELECT t.row, t.kind, coalesce({_PRINT}, 0) AS fp FROM texts t LEFT JOIN votes v ON v.row = t.row AND v.kind = t.kind),
+joined AS (
+  SELECT c.row, c.doc_id, length(c.text) AS n_chars, sha256(c.edited) AS edited_sha256, a.fp, b.fp AS edited_fp, n.fp AS next_fp
+  FROM changed c JOIN found a ON a.row = c.row AND a.kind = 0 JOIN found b ON b.row = c.row AND b.kind = 1
+  JOIN found n ON n.row = c.next_row AND n.kind = 0),
+near AS (
+  SELECT q.row, count(*) - 1 AS n_near FROM joined q JOIN joined o ON bit_count(xor(q.fp, o.fp)) <= 3 WHERE q.doc_id % 100 = 0 GROUP BY q.row)
+SELECT doc_id, n_chars, edited_sha256, lower(lpad(to_hex(fp), 16, '0')) AS fingerprint, lower(lpad(to_hex(edited_fp), 16, '0')) AS edited_fingerprint,
+  (64 - bit_count(xor(fp, edited_fp))) / 64.0::DOUBLE AS near_edited, (64 - bit_count(xor(fp, next_fp))) / 64.0::DOUBLE AS near_next, n_near
+FROM joined LEFT JOIN near USING (row)
+"""
+
+
+@query("op13_document_fingerprints", PRINT_SQL)
+def document_fingerprints(spark: SparkSession, root: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text; of every hundredth id, how many others are near."""
+    found = stored(prints.fingerprint_edits(table(spark, root, "documents").select("doc_id", "text")), "prints")
+    found = prints.count_near(found, F.col("doc_id") % 100 == 0)
+    told = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", told("fp").alias("fingerprint"), told("edited_fp").alias("edited_fingerprint"),
+        prints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        prints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near")
