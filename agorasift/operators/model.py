@@ -1,21 +1,24 @@
-"""Boosted trees over long feature cells: every column takes part, and sums are grouped aggregates."""
+"""Boosted trees over long feature cells, in which every column takes part."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from agorasift.operators import histograms as H
 from agorasift.operators import scores as S
 from agorasift.operators.durable import durable, scratch_path
 
+ROWS_AT_ONCE = 256  # of a batch, whose used columns are held densely
+
 
 def sparse_vectors(cells: DataFrame, size: int, rows: DataFrame | None = None, row: str = "row_id",
                    column: str = "feature_id") -> DataFrame:
@@ -61,23 +64,19 @@ class Leaf:
     value: float
 
 
-def _logistic(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
-
-
 @dataclass
 class BoostedClassifier:
     """One boosted model per class, probabilities scaled to sum to one.
 
     Input is long: cells (row_id, feature_id, value), a missing cell is zero.
-    In each round and level, gradients are joined to the cells of the labelled
-    rows and summed by (class, node, feature, bin); of each node only its best
-    split reaches the driver.  No column is left out, no row is a vector, and
+    Values of the labelled rows are binned by quantiles of their column, and
+    ``histograms.fit`` grows the trees on them.  No column is left out, and
     the model's size follows rounds and depth, not the vocabulary.
 
     Rows without a label are left out of training; a share of the labelled
     rows stops the boosting once it has not gained for ``patience`` rounds;
-    classes weigh the same in total.
+    classes weigh the same in total.  ``subsample`` is the share of rows that
+    each round learns from; ``max_delta_step`` bounds the leaves (0: no bound).
     """
 
     rounds: int = 250
@@ -87,6 +86,8 @@ class BoostedClassifier:
     smoothing: float = 1.0
     patience: int = 20
     validation_share: float = 0.15
+    subsample: float = 1.0
+    max_delta_step: float = 0.0
     seed: int = 42
     classes: list[str] = field(default_factory=list)
     splits: list[Split] = field(default_factory=list)
@@ -100,103 +101,39 @@ class BoostedClassifier:
         weighted = S.balanced_weights(split.where(~F.col("validation")), "label").unionByName(
             split.where(F.col("validation")).withColumn("weight", F.lit(1.0)))
         coded, self.classes = S.label_encode(weighted, "label", "code")
-        zeros = lambda kind, v: F.array(*[F.lit(v).cast(kind)] * len(self.classes))
-        rows = durable(coded.select("row_id", "code", "validation", "weight", zeros("double", 0.0).alias("margin"), zeros("int", 1).alias("node")))
+        rows = durable(coded.select("row_id", F.col("code").cast("int").alias("code"), "validation", "weight"))
         own = durable(cells.join(rows.select("row_id", "validation"), "row_id").where("value <> 0"))
-        binned = durable(self._binned(own.where("NOT validation")))
-        self.splits, self.leaves = [], []
-        best, waited, kept = None, 0, (0, 0)
-        for turn in range(self.rounds):
-            rows = self._grow(rows, own, binned, turn)
-            loss = self._loss(rows)
-            if loss is None or best is None or loss < best - 1e-6:
-                best, waited, kept = loss, 0, (len(self.splits), len(self.leaves))
-            else:
-                waited += 1
-            if waited >= self.patience:
-                break
-        self.splits, self.leaves = self.splits[: kept[0]], self.leaves[: kept[1]]
+        cuts = durable(self._cuts(own.where("NOT validation")))
+        bins = durable(self._binned(own, cuts))
+        settings = H.Settings(self.rounds, self.depth, self.step, self.smoothing, self.patience, self.subsample, self.max_delta_step, self.seed)
+        trees = H.fit(rows, bins, len(self.classes), settings)
+        values = self._cut_values(cuts, sorted({s[:2] for t in trees for s in t.splits.values()}))
+        self.splits = [Split(t.turn, t.code, node, feature, values[feature, threshold], gain)
+                       for t in trees for node, (feature, threshold, gain) in sorted(t.splits.items())]
+        self.leaves = [Leaf(t.turn, t.code, node, value) for t in trees for node, value in sorted(t.leaves.items())]
         return self
 
-    def _binned(self, cells: DataFrame) -> DataFrame:
-        """(row_id, feature_id, bin, below, at): the cuts next to the value; zero is always a cut."""
+    def _cuts(self, cells: DataFrame) -> DataFrame:
+        """(feature_id, cuts, zero): quantiles of the values that are not zero, and zero itself at place ``zero``."""
+        if not 1 < self.bins < H.ZERO:
+            raise ValueError(f"bins must be between 2 and {H.ZERO - 1}")
         shares = F.array(*[F.lit(i / self.bins) for i in range(1, self.bins)])
-        quantiles = F.percentile_approx("value", shares, F.lit(1000))
+        quantiles = F.percentile_approx(F.col("value").cast("double"), shares, F.lit(1000))
         cuts = cells.groupBy("feature_id").agg(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), quantiles))).alias("cuts"))
-        placed = cells.join(cuts, "feature_id").withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("value"))))
-        return placed.select("row_id", "feature_id", "bin", F.get("cuts", F.col("bin") - 1).alias("below"), F.get("cuts", F.col("bin")).alias("at"))
-
-    def _gradients(self, rows: DataFrame) -> DataFrame:
-        """(row_id, code, node, g, h) of the training rows, one row per class."""
-        each = rows.where("NOT validation").select(
-            "row_id", "weight", F.col("code").alias("own"), F.posexplode(F.arrays_zip("margin", "node")).alias("code", "m"))
-        p = _logistic(F.col("m.margin"))
-        y = (F.col("code") == F.col("own")).cast("double")
-        return each.select("row_id", "code", F.col("m.node").alias("node"), (F.col("weight") * (y - p)).alias("g"),
-                           (F.col("weight") * p * (1 - p)).alias("h"))
-
-    def _grow(self, rows: DataFrame, own: DataFrame, binned: DataFrame, turn: int) -> DataFrame:
-        """One tree per class; the margins with its leaf values added."""
-        for level in range(self.depth):
-            found = self._best_splits(self._gradients(rows), binned, turn, 2**level)
-            if not found:
-                break
-            self.splits += found
-            rows = self._moved(rows, own, found)
-        sums = self._gradients(rows).groupBy("code", "node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        leaves = [Leaf(turn, r["code"], r["node"], self.step * r["g"] / (r["h"] + self.smoothing)) for r in sums]
-        self.leaves += leaves
-        value = self._chosen(leaves, lambda leaf: F.lit(leaf.value), F.lit(0.0))
-        margin = F.transform(F.arrays_zip("margin", "node"), lambda m, i: m["margin"] + value(i, m["node"]))
-        ones = F.transform("node", lambda n: F.lit(1))
-        return durable(rows.withColumn("margin", margin).withColumn("node", ones))
-
-    def _best_splits(self, gradients: DataFrame, binned: DataFrame, turn: int, first: int) -> list[Split]:
-        """The best split of each node of one level, by the sums on the non-zero side of each cut."""
-        gradients = gradients.where(F.col("node") >= first)
-        totals = gradients.groupBy("code", "node").agg(F.sum("g").alias("tg"), F.sum("h").alias("th"))
-        sums = binned.join(gradients, "row_id").groupBy("code", "node", "feature_id", "bin").agg(
-            F.sum("g").alias("g"), F.sum("h").alias("h"), F.first("below").alias("below"), F.first("at").alias("at"))
-        ordered = Window.partitionBy("code", "node", "feature_id").orderBy("bin")
-        up, down = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing), ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        sums = sums.withColumns({f"{n}_{x}": F.sum(x).over(w) for n, w in (("up", up), ("down", down)) for x in ("g", "h")})
-        side = lambda cut, n: F.struct(F.col(cut).alias("cut"), F.col(f"{n}_g").alias("g"), F.col(f"{n}_h").alias("h"))
-        # above a cut of zero or more, or up to a cut below zero: never the side with the missing cells
-        sides = F.array(F.when(F.col("below") >= 0, side("below", "up")), F.when(F.col("at") < 0, side("at", "down")))
-        candidates = sums.select("code", "node", "feature_id", F.explode(F.array_compact(sides)).alias("s")).join(totals, ["code", "node"])
-        g, h, other = F.col("s.g"), F.col("s.h"), F.lit(self.smoothing)
-        gain = g * g / (h + other) + (F.col("tg") - g) * (F.col("tg") - g) / (F.col("th") - h + other) - F.col("tg") * F.col("tg") / (F.col("th") + other)
-        scored = candidates.withColumn("gain", F.round(gain, 9)).where("gain > 1e-6")
-        best = scored.groupBy("code", "node").agg(F.max_by(
-            F.struct("feature_id", F.col("s.cut").alias("cut"), "gain"), F.struct("gain", -F.col("feature_id"), F.col("s.cut"))).alias("b"))
-        return [Split(turn, r["code"], r["node"], r["b"]["feature_id"], r["b"]["cut"], r["b"]["gain"])
-                for r in sorted(best.collect(), key=lambda r: (r["code"], r["node"]))]
+        return cuts.withColumn("zero", F.size(F.filter("cuts", lambda c: c < 0)))
 
     @staticmethod
-    def _chosen(items: Sequence, make: Callable, otherwise: Column) -> Callable[[Column, Column], Column]:
-        """An expression of (class, node) with one case per item."""
-        def expression(code: Column, node: Column) -> Column:
-            result = otherwise
-            for item in items:
-                result = F.when((code == item.code) & (node == item.node), make(item)).otherwise(result)
-            return result
-
-        return expression
-
-    def _moved(self, rows: DataFrame, own: DataFrame, splits: Sequence[Split]) -> DataFrame:
-        """Rows in the children of the nodes that were split."""
-        used = own.where(F.col("feature_id").isin(sorted({s.feature for s in splits})))
-        seen = used.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("_seen"))
-        value = lambda s: F.coalesce(F.try_element_at("_seen", F.lit(s.feature).cast("long")), F.lit(0.0))
-        child = self._chosen(splits, lambda s: F.when(value(s) > s.cut, 2 * s.node + 1).otherwise(2 * s.node), F.lit(0))
-        moved = F.transform("node", lambda n, i: F.coalesce(F.nullif(child(i, n), F.lit(0)), n))
-        return rows.join(seen, "row_id", "left").withColumn("node", moved).drop("_seen")
-
-    def _loss(self, rows: DataFrame) -> float | None:
-        """Mean log-loss over validation rows and classes; none without such rows."""
-        hit = F.transform("margin", lambda m, i: F.log1p(F.exp(F.when(i == F.col("code"), -m).otherwise(m))))
-        total = F.aggregate(hit, F.lit(0.0), lambda a, x: a + x)
-        return rows.where("validation").agg(F.avg(total)).first()[0]
+    def _binned(cells: DataFrame, cuts: DataFrame) -> DataFrame:
+        """(row_id, feature_id, bin): cuts below the value, less those below zero; cells in the bin of zero are left out."""
+        below = F.size(F.filter("cuts", lambda c: c < F.col("value"))) - F.col("zero")
+        return cells.join(cuts, "feature_id").select("row_id", F.col("feature_id").cast("long").alias("feature_id"), below.alias("bin")).where("bin <> 0")
+
+    @staticmethod
+    def _cut_values(cuts: DataFrame, used: Sequence[tuple[int, int]]) -> dict[tuple[int, int], float]:
+        """The cut below each bin that a tree uses."""
+        wanted = cuts.sparkSession.createDataFrame(list(used), "feature_id long, threshold int")
+        found = cuts.join(wanted, "feature_id").select("feature_id", "threshold", F.get("cuts", F.col("zero") + F.col("threshold") - 1).alias("cut"))
+        return {(r["feature_id"], r["threshold"]): r["cut"] for r in found.collect()}  # as large as the model
 
     def raw_probabilities(self, cells: DataFrame, rows: DataFrame) -> DataFrame:
         """One probability column ``p_<code>`` per class, each from its own model, for all of ``rows``.
@@ -209,28 +146,31 @@ class BoostedClassifier:
         known = cells.sparkSession.createDataFrame(list(place.items()), "feature_id long, at int")
         held = cells.join(F.broadcast(known), "feature_id").groupBy("row_id").agg(
             F.collect_list("at").alias("_at"), F.collect_list(F.col("value").cast("double")).alias("_value"))
-        trees: dict[tuple[int, int], tuple[dict, dict]] = {}
-        for s in self.splits:
-            trees.setdefault((s.turn, s.code), ({}, {}))[0][s.node] = (place[s.feature], s.cut)
-        for leaf in self.leaves:
-            trees.setdefault((leaf.turn, leaf.code), ({}, {}))[1][leaf.node] = leaf.value
+        codes, columns, cuts, values = self._heaps(place)
         depth, width, classes = self.depth, len(features), len(self.classes)
 
+        def margins(dense: np.ndarray) -> np.ndarray:
+            """Each tree is a heap: a node without a split has column -1 and keeps its rows."""
+            margin, row = np.zeros((len(dense), classes)), np.arange(len(dense))
+            for code, column, cut, value in zip(codes, columns, cuts, values):
+                node = np.ones(len(dense), int)
+                for _ in range(depth):
+                    at = column[node]
+                    node = np.where(at < 0, node, 2 * node + (dense[row, at] > cut[node]))
+                margin[:, code] += value[node]
+            return margin
+
         def score(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
             for batch in batches:
-                dense = np.zeros((len(batch), width))
-                for i, (at, value) in enumerate(zip(batch.pop("_at"), batch.pop("_value"))):
-                    if at is not None:
-                        dense[i, at] = value
-                margin = np.zeros((len(batch), classes))
-                for (_, code), (splits, leaves) in trees.items():
-                    node = np.ones(len(batch), int)
-                    for _ in range(depth):
-                        for n in set(node.tolist()) & splits.keys():
-                            inside = node == n
-                            column, cut = splits[n]
-                            node[inside] = 2 * n + (dense[inside, column] > cut)
-                    margin[:, code] += [leaves.get(n, 0.0) for n in node.tolist()]
+                at, value, found = batch.pop("_at"), batch.pop("_value"), []
+                for first in range(0, len(batch), ROWS_AT_ONCE):
+                    part = slice(first, first + ROWS_AT_ONCE)
+                    dense = np.zeros((len(at[part]), max(width, 1)))
+                    for i, (where, what) in enumerate(zip(at[part], value[part])):
+                        if where is not None:
+                            dense[i, where] = what
+                    found.append(margins(dense))
+                margin = np.concatenate(found) if found else np.zeros((0, classes))
                 for code in range(classes):
                     batch[f"p_{code}"] = 1 / (1 + np.exp(-margin[:, code]))
                 yield batch
@@ -239,6 +179,18 @@ class BoostedClassifier:
         schema = StructType([*rows.schema.fields, *[StructField(f"p_{c}", DoubleType()) for c in range(classes)]])
         return joined.mapInPandas(score, schema)
 
+    def _heaps(self, place: dict[int, int]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        """Class of each tree, and the column, cut and value of each of its nodes."""
+        trees = sorted({(s.turn, s.code) for s in self.splits} | {(leaf.turn, leaf.code) for leaf in self.leaves})
+        at, shape = {t: i for i, t in enumerate(trees)}, (len(trees), 2 << self.depth)
+        columns, cuts, values = np.full(shape, -1), np.zeros(shape), np.zeros(shape)
+        for s in self.splits:
+            tree = at[s.turn, s.code]
+            columns[tree, s.node], cuts[tree, s.node] = place[s.feature], s.cut
+        for leaf in self.leaves:
+            values[at[leaf.turn, leaf.code], leaf.node] = leaf.value
+        return [code for _, code in trees], columns, cuts, values
+
     def calibrate(self, cells: DataFrame, labels: DataFrame) -> "BoostedClassifier":
         """Isotonic map per class from held-out labelled rows."""
         held = durable(self.raw_probabilities(cells, labels.where(F.col("label").isNotNull()).select("row_id", "label")))

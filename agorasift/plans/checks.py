@@ -68,7 +68,7 @@ def importance_shares(t):
 
 @query("validation_support", f"""
 WITH {_LABEL}, folded AS (
-  SELECT label, (row_number() OVER (PARTITION BY coalesce(label, '__null__') ORDER BY md5(concat(user_id, ':42')), user_id) - 1) % 2 AS fold
+  SELECT label, (row_number() OVER (PARTITION BY coalesce(label, '__null__') ORDER BY md5(concat(user_id, ':42')), user_id) - 1) % 5 AS fold
   FROM reported)
 SELECT CAST(fold AS INTEGER) AS fold, label AS class, count(*) AS support, true AS rates_in_range FROM folded WHERE label IS NOT NULL GROUP BY 1, 2""",
        _LABEL_VIEWS)
