@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from agorasift.llm.arrow import map_texts
-from agorasift.llm.storage import fresh, row_key, stored
-from agorasift.operators.ranking import number_rows
+from agorasift.llm.storage import fresh, row_key, stored, tidy
 
-SAMPLE = 20_000  # labelled texts of each language that the text model counts, at most
+SAMPLE = 20_000  # labelled texts of each language that the text model counts, about; all where there are fewer
+LANGUAGES = 200  # labels that make a known language, the most frequent ones; bounds the text model
 CELLS = 1 << 16  # of the table of hashed strings of three bytes
 GRAMS_AT_ONCE = 1 << 20
 SMOOTHING = 0.05  # added to the count of each cell
@@ -75,18 +75,24 @@ class TextModel:
 
 
 def train(docs: DataFrame, label: str = "lang", most: int = SAMPLE) -> TextModel:
-    """Counts over at most ``most`` labelled texts of each language, those first in hash order of the id.
+    """Counts over about ``most`` labelled texts of each language, or all where there are fewer.
 
-    Every label makes a known language; one with few texts is smoothed, not
-    dropped.  Counting is a grouped aggregate; the driver gets one table of
+    A text is counted if the hash of its row lies below its language's
+    cut-off, ``most`` in so many as the language has, so the sample is the same on
+    every run and is taken inside the scan: no text is shuffled.  Every label
+    makes a known language, up to the ``LANGUAGES`` most frequent; one with few texts is smoothed,
+    not dropped.  Counting is a grouped aggregate; the driver gets one table of
     fixed size per language.
     """
-    ids = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    ids = ids.select("doc_id", F.col(label).alias("language")).distinct()
-    ids = number_rows(ids, [F.xxhash64("doc_id"), F.col("doc_id")], "place", within=["language"])
-    ids = stored(ids.where(F.col("place") < most).select("doc_id", "language"), "language-sample")
-    known = [r[0] for r in ids.select("language").distinct().orderBy("language").collect()]
-    sample = docs.select("doc_id", "text").join(ids, "doc_id")
+    labelled = docs.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("language")).agg(F.count(F.lit(1)).alias("rows"))
+    sizes = {r["language"]: r["rows"] for r in labelled.orderBy(F.desc("rows"), "language").limit(LANGUAGES).collect()}
+    known = sorted(sizes)
+    if not known:
+        return TextModel.of_counts([], np.zeros((CELLS, 0)))
+    ends = {name: min((most << 64) // rows, (1 << 64) - 1) - (1 << 63) for name, rows in sizes.items()}
+    cut = F.create_map(*[F.lit(x) for name in known for x in (name, ends[name])])
+    sample = docs.select(F.col(label).alias("language"), "doc_id", "text").where(
+        F.xxhash64("doc_id", "text") <= F.try_element_at(cut, F.col("language")))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {name: np.zeros(CELLS, np.int64) for name in known}
@@ -167,7 +173,7 @@ def identify(docs: DataFrame, evidence: DataFrame, model: TextModel, least: floa
     judged alike; an empty table gives an empty table; without any known
     language all are rejected; other columns are not read.
 
-    Texts are read in one pass and not shuffled.  A host with a third of all
+    Texts are read in place here and in ``train``, and not shuffled.  A host with a third of all
     rows is summed inside tasks first, and the joins on hosts, suffixes and
     ids have one row per key on a stored side, so a hot key can be split.
     """
@@ -228,7 +234,8 @@ def identify(docs: DataFrame, evidence: DataFrame, model: TextModel, least: floa
 def drop_unidentified(docs: DataFrame, evidence: DataFrame, model: TextModel, least: float = 0.5) -> DataFrame:
     """``docs`` without the documents that are rejected; same columns."""
     k1, k2 = fresh(docs, "k1", "k2")
-    gone = identify(docs, evidence, model, least).where("NOT accepted")
-    gone = stored(gone.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct(), "rejected")
+    with tidy(docs.sparkSession) as keep:
+        gone = identify(docs, evidence, model, least).where("NOT accepted")
+        gone = keep(gone.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct(), "rejected")
     first, second = row_key(F.col("doc_id"), F.col("text"))
     return docs.withColumns({k1: first, k2: second}).join(gone, [k1, k2], "left_anti").select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from agorasift.llm.storage import ascii_lower, fresh, row_key, stored
+from agorasift.llm.storage import ascii_lower, fresh, row_key, stored, tidy
 
 BLANKS = " \t\n\x0b\f\r"
 NO_ID = 2**63 - 1  # stands for a null id: after every other document
@@ -38,12 +38,13 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -
     form = F.trim("line", F.lit(BLANKS))
     lines = lines.withColumn("form", form).where(F.length("form") >= min_chars).select(
         "k1", "k2", "doc", "at", F.xxhash64("form").alias("h1"), F.xxhash64(F.lit(1), "form").alias("h2"))
-    lines = stored(lines, "lines")
-    per_doc = lines.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
-    shared = per_doc.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.min("doc").alias("keeper"))
-    shared = stored(shared.where(F.col("n") >= min_docs).drop("n"), "shared-lines")
-    drops = lines.join(shared, ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
-    drops = drops.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_set("at").alias(dropped))
+    with tidy(docs.sparkSession) as keep:
+        lines = stored(lines, "lines")
+        per_doc = lines.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
+        shared = per_doc.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.min("doc").alias("keeper"))
+        shared = stored(shared.where(F.col("n") >= min_docs).drop("n"), "shared-lines")
+        drops = lines.join(shared, ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
+        drops = keep(drops.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_set("at").alias(dropped)), "dropped-lines")
     keyed = docs.withColumns({k1: first, k2: second}).join(drops, [k1, k2], "left")
     parts = _lines(F.coalesce("text", F.lit("")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), dropped), lambda i: F.get(parts, i))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from agorasift.llm.storage import fresh, row_key, stored
+from agorasift.llm.storage import fresh, row_key, stored, tidy
 from agorasift.operators.ranking import number_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,9 +66,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most_epochs: int =
     Returns one row per row of ``docs``: doc_id, size, source, source_size,
     target, taken and the row key (k1, k2).  Defined cases: null and empty
     texts have size 0 and take 0; a null source is a source of its own, last;
-    a null id is hashed like a text of its own; equal ids are put in order by
-    row key; rows equal in id and text may differ in ``taken`` but their set
-    of values is fixed; an empty table or one without words takes nothing.
+    a null id is hashed like a text of its own; rows are put in order by a hash
+    of id and text, so rows without an id or with the same one are spread; rows equal in id and text follow each
+    other and may differ in ``taken``, but their set of values is fixed; an
+    empty table or one without words takes nothing.
 
     A source that holds a third of all rows is spread over its key ranges, so
     no window or join sees more than one range of one source together.  The
@@ -76,13 +77,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most_epochs: int =
     sum over the ranges of a source sees one row per range.
     """
     first, second = row_key(F.col("doc_id"), F.col("text"))
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(str(seed))))
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest, F.lit(str(seed))))
     name, none = F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none")
     sized = docs.select("doc_id", "source", name, none, n_words(F.col("text")).alias("size"), first.alias("k1"),
                         second.alias("k2"), key.alias("key"))
-    sized = stored(sized, "sizes")
-    sized = sized.withColumn("range", F.substring("key", 1, range_digits(sized.count())))
-    ranges = sized.groupBy("name", "none", "range").agg(F.sum("size").alias("words"))
+    # equal rows are one, so many copies of a row are not sorted in one task
+    sized = stored(sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("copies")), "sizes")
+    sized = sized.withColumn("range", F.substring("key", 1, range_digits(sized.agg(F.sum("copies")).first()[0] or 0)))
+    ranges = sized.groupBy("name", "none", "range").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     whole = Window.partitionBy("name", "none")
     before = F.sum("words").over(whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     ranges = stored(ranges.select("name", "none", "range", F.coalesce(before, F.lit(0)).alias("before"),
@@ -94,10 +97,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most_epochs: int =
     budgets = stored(ranges.join(targets, ["name", "none"]), "budgets")
     placed = sized.join(budgets, ["name", "none", "range"])
     inside = Window.partitionBy("name", "none", "range").orderBy("key", "k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    at = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("budget") - passes * F.col("source_size")
-    placed = placed.withColumn("at", at)
+    placed = placed.withColumn("at", at).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    placed = placed.withColumn("at", F.col("at") + F.col("copy") * F.col("size"))
     taken = passes * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - F.col("at")))
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "k1", "k2")
 
@@ -110,8 +114,9 @@ def mixture(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most_epochs: in
     gets the largest.  Clashing names get a leading underscore.
     """
     k1, k2, *names = fresh(docs, "k1", "k2", "size", "source_size", "target", "taken")
-    taken = mix(docs, weights, most_epochs, seed).where("taken > 0").groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(
-        F.max(F.struct("taken", "size", "source_size", "target")).alias("got"))
-    taken = stored(taken.select(k1, k2, *[F.col(f"got.{n.lstrip('_')}").alias(n) for n in names]), "taken")
+    with tidy(docs.sparkSession) as keep:
+        taken = mix(docs, weights, most_epochs, seed).where("taken > 0").groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(
+            F.max(F.struct("taken", "size", "source_size", "target")).alias("got"))
+        taken = keep(taken.select(k1, k2, *[F.col(f"got.{n.lstrip('_')}").alias(n) for n in names]), "taken")
     first, second = row_key(F.col("doc_id"), F.col("text"))
     return docs.withColumns({k1: first, k2: second}).join(taken, [k1, k2]).select(*docs.columns, *names)

@@ -82,7 +82,7 @@ def chat_format(spark: SparkSession, root: str) -> DataFrame:
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':42') AS key
+    md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':42') AS key
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from agorasift.operators.durable import scratch_path
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITTEN: list[list[str]] = []  # paths of the open ``tidy`` blocks, innermost last
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -25,6 +29,8 @@ def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
@@ -40,6 +46,25 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables stored inside the block go when it ends; those stored by the given function stay."""
+    kept: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        table, path = stored_at(df, name)
+        kept.append(path)
+        return table
+
+    _WRITTEN.append([])
+    try:
+        yield keep
+    finally:
+        for path in _WRITTEN.pop():
+            if path not in kept:
+                discard(spark, path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}
