@@ -209,7 +209,7 @@ def fit_nmf(cells: DataFrame, k: int, tolerance: float = 1e-4, seed: int = 42, r
         of = lambda name: found.select(F.lit(0).cast("long").alias("block"), F.col(name).alias("factor"))
         return _rows_of(of("w"), rows, row, "w", k), _rows_of(of("h"), columns, column, "h", k)
     kept = {side: grid.repartition(side).persist(StorageLevel.MEMORY_AND_DISK) for side in ("rb", "cb")}
-    h = durable(_first_factor(columns))
+    h = durable(_first_factor(columns.withColumn("start", F.array_repeat(F.lit(0.0), k))))
     gram, errors = _gram(w, k)[0], [squares ** 0.5]
     while not settled(errors, tolerance):
         h = _half_round(kept["rb"], w, gram, h, "rb", "cb", k)
