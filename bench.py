@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -53,6 +54,9 @@ def main() -> None:
     for name in names:
         times[name] = round(run(spark, name, root), 3)
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
+        if len(names) > 1:  # what a stopped run has done so far
+            with open(os.path.join(tempfile.gettempdir(), "agorasift-bench-partial.json"), "w") as out:
+                json.dump({"metric": "partial_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times}, out)
     print(json.dumps({
         "metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": root.rstrip("/").split("sf")[-1],
