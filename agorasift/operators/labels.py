@@ -179,13 +179,6 @@ def group_edge_features(wide: DataFrame, classes: Sequence[str], family: str, ro
         "row_id", F.lit(family).alias("type"), "token", "value")
 
 
-def embedding_features(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Vector elements as feature cells, named by their position."""
-    return vectors.select(
-        "row_id", F.lit("embedding").alias("type"), F.posexplode(vector).alias("_p", "value")
-    ).select("row_id", "type", F.col("_p").cast("string").alias("token"), F.col("value").cast("double"))
-
-
 def assemble_features(blocks: Sequence[DataFrame]) -> DataFrame:
     """All blocks as one long table (row_id, type, token, value)."""
     parts = [b.select("row_id", "type", F.col("token").cast("string").alias("token"), F.col("value").cast("double").alias("value"))
@@ -194,12 +187,16 @@ def assemble_features(blocks: Sequence[DataFrame]) -> DataFrame:
 
 
 def feature_dictionary(features: DataFrame, families: Sequence[str]) -> DataFrame:
-    """Dense ids over all columns with a positive sum, block by block."""
+    """Dense ids over all columns that are not zero, block by block.
+
+    Counts have no cell below zero; elements of vectors may have.
+    """
     order = reduce(lambda rest, i: F.when(F.col("type") == families[i], F.lit(i)).otherwise(rest),
                    range(len(families)), F.lit(len(families)))
-    sums = features.groupBy("type", "token").agg(F.sum("value").alias("matrix_sum"))
+    sums = features.groupBy("type", "token").agg(
+        F.sum("value").alias("matrix_sum"), F.max(F.abs("value")).alias("_largest"))
     return number_rows(
-        sums.where(F.col("matrix_sum") > 0), [order, F.desc("matrix_sum"), F.asc("token")], "feature_id")
+        sums.where(F.col("_largest") > 0).drop("_largest"), [order, F.desc("matrix_sum"), F.asc("token")], "feature_id")
 
 
 def feature_cells(features: DataFrame, dictionary: DataFrame) -> DataFrame:

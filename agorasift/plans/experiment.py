@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agorasift.functions import text as T
 from agorasift.operators import daily
+from agorasift.operators import embeddings as E
 from agorasift.operators import graph as G
 from agorasift.operators import vocabulary as W
 from agorasift.operators.durable import durable
@@ -226,6 +227,13 @@ def user_embeddings(t):
     return means.select("label", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
+@query("text_embeddings", """
+SELECT r.row_id, v.pos, v.value FROM user_vectors v JOIN row_ids r ON r.user_id = v.user_id""", ["user_vectors", "row_ids"])
+def text_embeddings(t):
+    posts = t.posts.withColumn("tokens", T.tokenize(F.col("text")))
+    return E.user_vectors(posts, E.hashed_ngrams(), row_ids(t))
+
+
 @query("features_with_names", """
 SELECT r.row_id, v.token_id, u.frequency AS value, v.domain AS token, 'domain' AS type FROM user_domains u
 JOIN domain_vocab v ON v.domain = u.domain JOIN row_ids r ON r.user_id = u.user_id""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agorasift.functions import text as T
 from agorasift.operators import daily
+from agorasift.operators import embeddings as E
 from agorasift.operators import graph as G
 from agorasift.operators import labels as L
 from agorasift.operators import vocabulary as W
@@ -162,14 +163,15 @@ FROM edges e JOIN tagged_votes l ON l.row_id = e.dst WHERE e.layer = '{_layer}'
 
 
 def model_features(t, features=None):
-    """Feature cells without seeds, with the edges of each kind into labelled users."""
+    """Feature cells without seeds, edges of each kind into labelled users, and mean vectors of posts."""
     features = user_features(t) if features is None else features
     labels = durable(user_labels(t, features))
     groups = [
         L.group_edge_features(L.group_edges(t.edges.where(F.col("layer") == layer), labels, CLASSES), CLASSES, family, user_rows(t))
         for layer, family in GROUP_FAMILIES.items()
     ]
-    return L.assemble_features([L.remove_seeds(features, t.rules), *groups])
+    means = E.user_vectors(t.posts.withColumn("tokens", T.tokenize(F.col("text"))), E.hashed_ngrams(), user_rows(t))
+    return L.assemble_features([L.remove_seeds(features, t.rules), *groups, E.embedding_features(means)])
 
 
 @query("feature_dictionary", "SELECT type, token, matrix_sum, feature_id FROM dictionary", ["dictionary"])
@@ -193,7 +195,7 @@ SELECT type, token, row_number() OVER (ORDER BY block, matrix_sum DESC, token) -
   SELECT f.type, f.token, CAST(sum(f.value) AS DOUBLE) AS matrix_sum,
          list_position({_FAMILY_LIST}, f.type) AS block
   FROM model_features f WHERE f.row_id IN (SELECT user_id FROM predictions WHERE predicted_class NOT IN ('noise', 'undisclosed'))
-  GROUP BY f.type, f.token HAVING sum(f.value) > 0)""", ["model_features", "predictions"])
+  GROUP BY f.type, f.token HAVING max(abs(f.value)) > 0)""", ["model_features", "predictions"])
 def nonzero_features(t):
     chosen = L.eligible_users(t.users, t.predictions).select(F.col("user_id").alias("row_id"))
     return L.feature_dictionary(model_features(t).join(chosen, "row_id", "left_semi"), FAMILIES)

@@ -21,7 +21,7 @@ FACT_TABLES = ("events", "documents")
 # Feature families in the order of their columns.
 FEATURE_FAMILIES = (
     "domain", "profile_domain", "profile_tld", "tweet_tokens", "user_name", "description_token", "rt_target", "reply_target",
-    "quote_target", "rt_group", "mention_group", "quote_group",
+    "quote_target", "rt_group", "mention_group", "quote_group", "embedding",
 )
 # Fixed values used by the example rules.
 STOPWORDS = ("of", "and", "by", "in", "un", "en")
@@ -163,6 +163,24 @@ FROM (SELECT event_id + 1 AS id, user_id + 1 AS user_id, CAST(ts AS DATE) AS dat
              event_id % (SELECT count(*) FROM documents) AS dk FROM events) p
 JOIN doc_words w ON w.doc_id = p.dk""",
     "user_tokens": "SELECT user_id, token, count(*) AS frequency FROM post_words GROUP BY 1, 2",
+    # words and pairs of neighbours; the bits of a hash as signs, scaled to length one, in steps of 2 ** -20
+    "doc_vectors": """
+SELECT doc_id, pos, CAST(floor(x / sqrt(CAST(sum(x * x) OVER (PARTITION BY doc_id) AS DOUBLE)) * 1048576 + 0.5) AS BIGINT) AS steps
+FROM (SELECT doc_id, pos, CAST(sum(n * (2 * (((instr('0123456789abcdef', substr(h, pos // 4 + 1, 1)) - 1) >> (3 - pos % 4)) & 1) - 1))
+             AS BIGINT) AS x
+      FROM (SELECT doc_id, md5(concat('7:', gram)) AS h, count(*) AS n FROM (
+              SELECT doc_id, token AS gram FROM doc_words UNION ALL
+              SELECT doc_id, concat(token, ' ', lead(token) OVER (PARTITION BY doc_id ORDER BY pos)) FROM doc_words
+              QUALIFY lead(token) OVER (PARTITION BY doc_id ORDER BY pos) IS NOT NULL) GROUP BY 1, 2),
+           (SELECT CAST(unnest(range(64)) AS INTEGER) AS pos)
+      GROUP BY 1, 2)""",
+    "user_vectors": """
+SELECT c.user_id, c.pos, floor(coalesce(s.steps, 0) / CAST(c.n AS DOUBLE) + 0.5) / 1048576 AS value
+FROM (SELECT user_id, pos, n FROM (SELECT user_id, count(*) AS n FROM posts GROUP BY 1),
+           (SELECT CAST(unnest(range(64)) AS INTEGER) AS pos)) c
+LEFT JOIN (SELECT p.user_id, v.pos, CAST(CAST(sum(v.steps) AS BIGINT) AS DOUBLE) AS steps FROM (
+             SELECT event_id % (SELECT count(*) FROM documents) AS dk, user_id + 1 AS user_id FROM events) p
+           JOIN doc_vectors v ON v.doc_id = p.dk GROUP BY 1, 2) s ON s.user_id = c.user_id AND s.pos = c.pos""",
     "profile_words": """
 SELECT p.user_id, p.date, w.token FROM (
   SELECT user_id + 1 AS user_id, CAST(ts AS DATE) AS date, (user_id + 1) * 7 % (SELECT count(*) FROM documents) AS dk
@@ -221,12 +239,13 @@ UNION ALL SELECT user_id, class, 1 FROM known_accounts WHERE user_id IN (SELECT
 SELECT row_id, type, token, value FROM features
 WHERE (type, token) NOT IN (SELECT (family, token) FROM rules WHERE kind = 'must_have')
 UNION ALL SELECT e.src, CASE e.layer WHEN 'retweet' THEN 'rt_group' WHEN 'reply' THEN 'mention_group' ELSE 'quote_group' END, l.class,
-  CAST(sum(e.weight) AS DOUBLE) FROM edges e JOIN tagged_votes l ON l.row_id = e.dst GROUP BY 1, 2, 3""",
+  CAST(sum(e.weight) AS DOUBLE) FROM edges e JOIN tagged_votes l ON l.row_id = e.dst GROUP BY 1, 2, 3
+UNION ALL SELECT user_id, 'embedding', CAST(pos AS VARCHAR), value FROM user_vectors WHERE value <> 0""",
     "dictionary": f"""
 SELECT type, token, matrix_sum, row_number() OVER (ORDER BY block, matrix_sum DESC, token) - 1 AS feature_id FROM (
   SELECT type, token, sum(value) AS matrix_sum,
          list_position({list(FEATURE_FAMILIES)}, type) AS block
-  FROM model_features GROUP BY type, token HAVING sum(value) > 0)""",
+  FROM model_features GROUP BY type, token HAVING max(abs(value)) > 0)""",
     "user_domains": f"""
 SELECT user_id, domain, count(*) AS frequency FROM (SELECT user_id, {HOST.format('url')} AS domain FROM posts)
 WHERE domain NOT IN {DISCARDED} GROUP BY 1, 2""",
@@ -243,7 +262,8 @@ _CHECK_INPUTS = {
     "profile_hosts": ("profiles",), "name_words": ("profiles",),
     "features": ("profile_words", "name_words", "user_tokens", "user_domains", "profile_hosts", "edges"), "family_labels": ("features", "rules"),
     "votes": ("family_labels",), "sure_votes": ("votes",), "tagged_votes": ("sure_votes", "known_accounts", "users"),
-    "model_features": ("features", "rules", "edges", "tagged_votes"), "dictionary": ("model_features",),
+    "doc_vectors": ("doc_words",), "user_vectors": ("posts", "doc_vectors"),
+    "model_features": ("features", "rules", "edges", "tagged_votes", "user_vectors"), "dictionary": ("model_features",),
     "user_domains": ("posts",), "domain_vocab": ("user_domains",),
 }
 
