@@ -6,14 +6,24 @@ last run and stop, so a scheduler can start them every ten minutes.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from agorasift.functions import text as T
-from agorasift.sources import posts as P
+from agorasift.sources import filters, posts as P
+from agorasift.streaming.parts import RunningSums
+
+# Spark's settings for state on local disk, saved as changes of each batch.
+DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+EDGE_SUMS = "layer string, src long, dst long, weight long"
 
 
 def read_raw(spark: SparkSession, path: str, files_per_batch: int = 144, archive: str | None = None) -> DataFrame:
@@ -25,18 +35,42 @@ def read_raw(spark: SparkSession, path: str, files_per_batch: int = 144, archive
     return P.parse_lines(lines)
 
 
-def flat_tokens(raw: DataFrame, languages: list[str] | None = None) -> DataFrame:
-    """Expanded, flattened, filtered and tokenised posts; no state."""
+def flat_tokens(raw: DataFrame, languages: list[str] | None = None, **tests) -> DataFrame:
+    """Expanded, flattened, filtered and tokenised posts; no state.
+
+    ``tests`` are the keyword, location and account tests of
+    ``filters.import_filter``; without any, the languages alone decide.
+    """
     flat = P.keep_languages(P.expand_embedded(raw), languages)
+    if tests:
+        flat = filters.import_filter(flat, **tests)
     return flat.withColumn("tokens", T.tokenize(F.col("text")))
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Session settings for queries that start inside; a query keeps those it was started with."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def append_to(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Exactly-once parquet sink for what is there now."""
-    return (
-        stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
+    """Exactly-once parquet sink for what is there now.
+
+    State, if there is any, is kept on the executors' disks and its changes
+    under the checkpoint, so it may outgrow memory and outlives executors.
+    """
+    with settings(stream.sparkSession, DISK_STATE):
+        return (
+            stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start()
+        )
 
 
 def read_posts(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 144) -> DataFrame:
@@ -56,26 +90,23 @@ def tumbling_counts(posts: DataFrame, width: str = "10 minutes", delay: str = "1
     return counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n_posts")
 
 
-def running_edges(edges: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Edge weights of each batch, kept under its batch number.
+def edge_sums(target: str, fan: int = 4) -> RunningSums:
+    return RunningSums(target, ("layer", "src", "dst"), "weight", fan)
 
-    A batch that is run again replaces its own partition, so weights are never
-    counted twice; ``edge_totals`` adds the batches up.
-    """
 
-    def keep(batch: DataFrame, number: int) -> None:
-        weights = batch.groupBy("layer", "src", "dst").agg(F.sum("weight").alias("weight"))
-        (
-            weights.withColumn("batch", F.lit(number)).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
-        )
+def running_edges(edges: DataFrame, target: str, checkpoint: str, fan: int = 4) -> StreamingQuery:
+    """Edge weights of all batches, in parts that merge geometrically.
 
+    A batch that is run again counts once; ``edge_totals`` reads the parts of
+    the last complete version.
+    """
+    sums = edge_sums(target, fan)
     return (
-        edges.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+        edges.writeStream.foreachBatch(sums.add).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
 def edge_totals(spark: SparkSession, target: str) -> DataFrame:
     """Edge weights over all batches so far."""
-    return spark.read.parquet(target).groupBy("layer", "src", "dst").agg(F.sum("weight").alias("weight"))
+    return edge_sums(target).totals(spark, EDGE_SUMS)
