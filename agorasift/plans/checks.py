@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from agorasift.operators import communities as K
@@ -112,13 +111,6 @@ def community_levels(t):
     return found.groupBy("node").agg(levels.alias("at_all_levels")).withColumns({"nested": F.lit(nested), "modularity_grows": F.lit(grows)})
 
 
-def _doc_shares(model, vectors: DataFrame, row: str) -> DataFrame:
-    share = vector_to_array("topicDistribution")
-    return model.transform(vectors).select(
-        F.col(row).cast("string").alias("name"), F.size(share).cast("long").alias("n"),
-        is_one(F.aggregate(share, F.lit(0.0), lambda a, x: a + x)).alias("sums_to_one"))
-
-
 @query("lda_shares", f"""
 WITH {_TOPIC}
 SELECT 'user' AS kind, CAST(user_id AS VARCHAR) AS name, {TOPICS} AS n, true AS sums_to_one FROM (
@@ -126,10 +118,11 @@ SELECT 'user' AS kind, CAST(user_id AS VARCHAR) AS name, {TOPICS} AS n, true AS
 UNION ALL SELECT 'topic', CAST(i AS VARCHAR), (SELECT count(*) FROM topic_vocab), true FROM range({TOPICS}) AS r(i)""", _TOPIC_VIEWS)
 def lda_shares(t):
     """Topic shares of a user sum to one, and so do the term weights of a topic over the whole vocabulary."""
-    model, vectors, terms = topics.fitted_lda(t)
-    described = X.lda_topic_terms(model, terms, model.vocabSize()).groupBy(F.col("topic").cast("string").alias("name")).agg(
+    model, cells, terms = topics.fitted_lda(t)
+    described = X.lda_topic_terms(model, terms, None).groupBy(F.col("topic").cast("string").alias("name")).agg(
         F.count_distinct("token").alias("n"), is_one(F.sum("weight")).alias("sums_to_one"))
-    users = _doc_shares(model, vectors, "row_id")
+    users = X.lda_doc_topics(model, cells, least=0.0).groupBy(F.col("row_id").cast("string").alias("name")).agg(
+        F.count_distinct("topic").alias("n"), is_one(F.sum("share")).alias("sums_to_one"))
     return users.withColumn("kind", F.lit("user")).unionByName(described.withColumn("kind", F.lit("topic")))
 
 

@@ -73,29 +73,26 @@ def topic_matrix(t):
 def fitted_lda(t):
     matrix, _, vocabulary = topic_parts(t)
     terms = durable(number_rows(vocabulary.select("token", "token_id"), [F.col("token_id")], "term_id"))
-    cells = durable(matrix.join(terms.select("token_id", "term_id"), "token_id"))
-    size = terms.count()
-    vectors = X.sparse_vectors(cells, size, column="term_id")
-    return X.fit_lda(vectors, TOPICS, concentration=X.asymmetric_concentration(TOPICS)), vectors, terms
+    cells = durable(matrix.join(terms.select("token_id", "term_id"), "token_id").select("row_id", "term_id", "value"))
+    return X.fit_lda(cells, TOPICS, concentration=X.asymmetric_concentration(TOPICS), column="term_id"), cells, terms
 
 
 @query("lda_topics")
 def lda_topics(t):
-    model, _, _ = fitted_lda(t)
-    return model.describeTopics(10).select(
-        "topic", F.posexplode("termWeights").alias("position", "weight"))
+    model, _, terms = fitted_lda(t)
+    return X.lda_topic_terms(model, terms).select("topic", F.col("position").cast("int").alias("position"), "weight")
 
 
 @query("lda_topic_terms")
 def lda_topic_terms(t):
     model, _, terms = fitted_lda(t)
-    return X.lda_topic_terms(model, terms)
+    return X.lda_topic_terms(model, terms).select("term_id", "topic", "position", "weight", "token")
 
 
 @query("lda_doc_topics")
 def lda_doc_topics(t):
-    model, vectors, _ = fitted_lda(t)
-    return X.lda_doc_topics(model, vectors)
+    model, cells, _ = fitted_lda(t)
+    return X.lda_doc_topics(model, cells)
 
 
 # places: documents and posts get a point each
@@ -241,12 +238,10 @@ def topic_labels(t):
 def lda_places(t):
     cells = durable(document_cells(t))
     terms = durable(W.with_token_ids(cells.groupBy("token").agg(F.sum("value").alias("frequency"))))
-    size = terms.count()
     ids = terms.select("token", "token_id")
-    vectors = lambda c, row: X.sparse_vectors(c.join(ids, "token"), size, row=row, column="token_id")
-    model = X.fit_lda(vectors(cells, "doc_id"), TOPICS, seed=42)
+    model = X.fit_lda(cells.join(ids, "token"), TOPICS, seed=42, row="doc_id")
     counts = cells.join(document_places(t), "doc_id").groupBy("name", "token").agg(F.sum("value").alias("value"))
-    return X.lda_doc_topics(model, vectors(counts, "name"), row="name", least=0.0)
+    return X.lda_doc_topics(model, counts.join(ids, "token"), row="name", least=0.0)
 
 
 _EMOTION = """

@@ -127,9 +127,9 @@ def test_nmf_separates_topics(spark):
 
 
 def test_lda_separates_topics(spark):
-    vectors = X.sparse_vectors(two_topic_cells(spark), 20, column="token_id")
-    model = X.fit_lda(vectors, 2, passes=30)
-    rows = X.lda_doc_topics(model, vectors, least=0.0).groupBy("row_id").pivot("topic", [0, 1]).sum("share")
+    cells = two_topic_cells(spark)
+    model = X.fit_lda(cells, 2, passes=30)
+    rows = X.lda_doc_topics(model, cells, least=0.0).groupBy("row_id").pivot("topic", [0, 1]).sum("share")
     assert separates(rows.withColumnsRenamed({"0": "topic_0", "1": "topic_1"}).collect())
 
 
