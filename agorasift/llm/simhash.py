@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from agorasift.llm.arrow import map_texts
 from agorasift.llm.components import connected
-from agorasift.llm.storage import fresh, row_key, stored
+from agorasift.llm.storage import fresh, row_key, stored, tidy
 
 SEED = 42
 SHINGLES_AT_ONCE = 65_536
@@ -124,11 +124,11 @@ def drop_near_duplicates(docs: DataFrame, size: int = 4, bits: int = MOST_BITS)
     Nulls sort last; equal ids are put in order by row key; of repeated rows
     one stays.  The columns are those of ``docs``.
     """
-    groups = near_duplicates(docs, size, bits)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    heads = groups.groupBy("root").agg(F.min(order).alias("head"))
     k1, k2 = fresh(docs, "k1", "k2")
-    heads = stored(heads.select(F.col("head.k1").alias(k1), F.col("head.k2").alias(k2)).distinct(), "heads")
+    with tidy(docs.sparkSession) as keep:
+        heads = near_duplicates(docs, size, bits).groupBy("root").agg(F.min(order).alias("head"))
+        heads = keep(heads.select(F.col("head.k1").alias(k1), F.col("head.k2").alias(k2)).distinct(), "heads")
     first, second = row_key(F.col("doc_id"), F.col("text"))
     kept = docs.withColumns({k1: first, k2: second}).join(heads, [k1, k2], "left_semi")
     return kept.dropDuplicates([k1, k2]).select(*docs.columns)

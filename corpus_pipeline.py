@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agorasift.llm import decontaminate, language, line_dedup, mixing, near_copies
+from agorasift.llm import decontaminate, language, line_dedup, mixing, simhash
 from agorasift.llm.storage import discard, stored_at
 
 ORACLE_SQL = None  # a trained model decides in the first stage; tests compare with plain Python
@@ -26,8 +26,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles with a similarity of 0.8 or more."""
-    return near_copies.drop_near_copies(docs)
+    """One document of each group of near copies: SimHash fingerprints linked at four or fewer bits."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", language_id),
     ("line_dedup", drop_lines),
-    ("near_dedup", drop_copies),
+    ("simhash_dedup", drop_copies),
     ("decontamination", drop_leaks),
     ("mixing", mix_sources),
 ]
