@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from agorasift.operators.ranking import hash_order, top_rows
+from agorasift.operators.ranking import hash_order, pick_one, top_rows
 from agorasift.sources.days import experiment_slice
 
 
@@ -36,10 +36,21 @@ def weak_candidates(pool: DataFrame, score: str, low: float = 0.55, high: float
 
 def posts_of_users(posts: DataFrame, users: DataFrame, start: str | None = None, end: str | None = None,
                    max_posts: int | None = None, columns: Sequence[str] = ("id", "date", "user_id", "text")) -> DataFrame:
-    """Distinct posts of some users in a range of days, oldest first when limited."""
+    """Distinct posts of some users in a range of days, oldest first when limited.
+
+    Of rows with one id the oldest stays.  A limit is taken on ids and days,
+    so only the texts of the posts that it leaves are exchanged.
+    """
     chosen = experiment_slice(posts, start, end).join(users.select("user_id"), "user_id", "left_semi")
-    chosen = chosen.select(*columns).dropDuplicates(["id"])
-    return chosen if max_posts is None else top_rows(chosen, max_posts, [F.asc("date"), F.asc("id")])
+    chosen = chosen.select(*columns)
+    oldest = [F.asc("date"), F.asc("id")]
+    if max_posts is not None:
+        first = top_rows(chosen.groupBy("id").agg(F.min("date").alias("date")), max_posts, oldest)
+        first = first.select(F.col("id").alias("_id"), F.col("date").alias("_date"))
+        same = F.col("id").eqNullSafe(F.col("_id")) & F.col("date").eqNullSafe(F.col("_date"))
+        chosen = chosen.join(first, same, "left_semi")
+    chosen = pick_one(chosen, ["id"], [c for c in ("date", "user_id") if c in columns])
+    return chosen if max_posts is None else top_rows(chosen, max_posts, oldest)
 
 
 def cross_group_edges(edges: DataFrame, users: DataFrame, most: int = 1000) -> DataFrame:
