@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from agorasift.functions import geo
 from agorasift.functions import text as T
+from agorasift.operators.daily import listed_pieces
+from agorasift.operators.durable import stored
 from agorasift.operators.labels import inverse_frequency, tfidf
 from agorasift.operators.ranking import exact_quantiles, top_rows
 
@@ -91,12 +93,15 @@ def emotion_scores(posts: DataFrame, lexicon: DataFrame, key: str = "id", text:
                    labels: Sequence[str] = EMOTIONS) -> DataFrame:
     """Softmax of the lexicon weights found in each post; no hits give equal shares.
 
-    ``lexicon`` is the small table (token, label, weight).
+    ``lexicon`` is the small table (token, label, weight).  Handles and tokens
+    end at spaces, so only distinct pieces between spaces are tokenised.
     """
-    tokens = T.tokenize(T.mask_handles(F.col(text)))
-    words = posts.select(key, F.explode(tokens).alias("token")).join(lexicon, "token")
-    found = words.groupBy(key).agg(*[
-        F.sum(F.when(F.col("label") == c, F.col("weight")).otherwise(0.0)).alias(f"_{c}") for c in labels])
+    pieces = listed_pieces(posts, lambda piece: T.tokenize(T.mask_handles(piece)), lexicon, text)
+    weight = F.col("weight") * F.col("_n")
+    pieces = stored(pieces.join(lexicon, "token").groupBy("_piece").agg(*[
+        F.sum(F.when(F.col("label") == c, weight).otherwise(0.0)).alias(f"_{c}") for c in labels]), "weights")
+    words = posts.select(key, F.explode(F.split(text, " ")).alias("_piece")).join(pieces, "_piece")
+    found = words.groupBy(key).agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in labels])
     scored = posts.drop(text).join(found, key, "left").na.fill(0.0, [f"_{c}" for c in labels])
     top = F.greatest(*[F.col(f"_{c}") for c in labels])
     scored = scored.withColumns({f"_{c}": F.exp(F.col(f"_{c}") - top) for c in labels})

@@ -197,7 +197,7 @@ def account_age(t):
 SELECT token, count(*) AS frequency FROM doc_words WHERE NOT regexp_matches(token, '^\\p{N}+$') GROUP BY token""",
        ["doc_words"])
 def numeric_tokens(t):
-    return daily.token_frequency(t.documents, T.tokenize(F.col("text"))).where(~T.is_numeric(F.col("token")))
+    return daily.token_frequency(t.documents, T.tokenize, text="text").where(~T.is_numeric(F.col("token")))
 
 
 @query("normalize_rows", """
@@ -246,6 +246,6 @@ FROM (SELECT {1} AS v, min({1}) OVER () AS lo, max({1}) OVER () AS hi
 
 @query("frequency_histogram", _HISTOGRAM.format("raw", "f") + " UNION ALL " + _HISTOGRAM.format("log", "ln(f)"), ["doc_words"])
 def frequency_histogram(t):
-    words = durable(daily.token_frequency(t.documents, T.tokenize(F.col("text"))))
+    words = durable(daily.token_frequency(t.documents, T.tokenize, text="text"))
     raw = C.frequency_histogram(words, "frequency").withColumn("scale", F.lit("raw"))
     return raw.unionByName(C.frequency_histogram(words, "frequency", log=True).withColumn("scale", F.lit("log")))
