@@ -95,12 +95,17 @@ def label_min_probability(t):
     return labelled.select("user_id", F.round("max_probability", 6).alias("max_probability"), "label", "source")
 
 
+def class_vectors(t):
+    """Feature sums of each class, from cells that add up; classes are stored, so that their size is known."""
+    classes = stored(t.predictions.select(F.col("user_id").alias("row_id"), "predicted_class"), "classes")
+    return S.group_vectors(user_features(t, add_up=True), classes, ["type", "token"])
+
+
 @query("group_vectors", """
 SELECT p.predicted_class, f.type, f.token, sum(f.value) AS value FROM features f
 JOIN predictions p ON p.user_id = f.row_id GROUP BY 1, 2, 3""", ["features", "predictions"])
 def group_vectors(t):
-    classes = t.predictions.select(F.col("user_id").alias("row_id"), "predicted_class")
-    return S.group_vectors(user_features(t), classes, ["type", "token"])
+    return class_vectors(t)
 
 
 _ODDS = """
@@ -118,9 +123,7 @@ scored AS (
 
 
 def associations(t):
-    classes = t.predictions.select(F.col("user_id").alias("row_id"), "predicted_class")
-    vectors = stored(S.group_vectors(user_features(t), classes, ["type", "token"]))
-    return S.log_odds(vectors, SHOWN, ["type", "token"])
+    return S.log_odds(stored(class_vectors(t)), SHOWN, ["type", "token"])
 
 
 @query("log_odds", _ODDS + "SELECT class, type, token, round(score, 5) AS score FROM scored", ["features", "predictions"])
@@ -179,7 +182,7 @@ _IMPORTANCE = "CAST((length(token) * 7 + ascii(token)) % 23 AS DOUBLE) / 23"
 
 def importances(t):
     value = ((F.length("token") * 7 + F.ascii("token")) % 23).cast("double") / 23
-    return user_features(t).select("type", "token").distinct().withColumn("importance", value)
+    return user_features(t, add_up=True).select("type", "token").distinct().withColumn("importance", value)
 
 
 _TITLES = """CASE type WHEN 'description_token' THEN 'bio' WHEN 'domain' THEN 'link' WHEN 'rt_target' THEN 'RT' WHEN 'reply_target' THEN 'REPLY'
@@ -255,7 +258,7 @@ def unlabeled_pool(t):
 SELECT user_id, dataset_posts FROM users WHERE CAST(user_id AS VARCHAR) IN (SELECT token FROM features WHERE type = 'rt_target')""",
        ["features", "users"])
 def feature_accounts(t):
-    targets = user_features(t).where(F.col("type") == "rt_target").select("token").distinct()
+    targets = user_features(t, ("rt_target",)).select("token").distinct()
     return A.feature_accounts(t.users, targets.select(F.lit("RT").alias("type"), F.concat(F.lit("RT:"), "token").alias("label")))
 
 
@@ -306,7 +309,7 @@ def posts_sample_per_user(t):
 
 def training_rows(t):
     """Cells of all users over all features, their weak labels, the users, the dictionary; seeds are removed."""
-    found = user_features(t)
+    found = stored(user_features(t))
     features = stored(model_features(t, found))
     dictionary = durable(L.feature_dictionary(features, FAMILIES))
     cells = stored(L.feature_cells(features, dictionary))
