@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from agorasift.functions import text as T
 from agorasift.operators import annotate, daily
-from agorasift.plans import views as V
+from agorasift.plans import ingest, views as V
 from agorasift.plans.registry import Tables
+from agorasift.sources import posts as P
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +97,16 @@ def test_oldest_posts_are_chosen_by_their_keys(spark):
     assert got == [(2, day(3), 1, "b"), (1, day(4), 1, "early")]
     everything = {r["id"]: r["text"] for r in annotate.posts_of_users(posts, users).collect()}
     assert everything == {1: "early", 2: "b", 3: "c", None: "n"}
+
+
+def test_quoted_texts_do_not_meet_the_own_ones(odd):
+    full, lean = odd.linked, odd.linked_without_quoted
+    assert lean.dtypes == full.dtypes
+    want = full.withColumn("ref_text", F.when(F.col("rt_id") > 0, F.col("ref_text")))
+    assert sorted(map(repr, lean.collect())) == sorted(map(repr, want.collect()))
+    assert lean.where("quote_id > 0 AND ref_id IS NOT NULL").count() > 0 and lean.where("ref_text IS NOT NULL").count() > 0
+    read = lambda **what: sorted(map(repr, ingest.raw_posts(odd, **what).select("id", P.post_text()).collect()))
+    assert read(quoted_texts=False) == read()
+    plan = ingest.post_text(odd)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    last = next(i for i, line in enumerate(plan) if "Join" in line)
+    assert any("CASE WHEN (rt_id" in line and "AS ref_text" in line for line in plan[last:])
