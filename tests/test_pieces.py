@@ -41,6 +41,27 @@ def test_listed_tokens_only(spark, posts):
     assert rows(daily.listed_frequency(posts, T.tokenize, listed, ["user_id"], "text")) == rows(plain) != []
 
 
+LISTED = ["the", "cat", "cat's", "don’t-know", "end", "i\u0307stanbul", "istanbul", "οδος", "żółć", "12", "3", ".", "#tag", "@me_you@them",
+          "@me_you", "🙂🙂", "x", "là", "ñandú", "absent", "http", "The"]
+
+
+@pytest.mark.parametrize("most", [32, 2])
+def test_listed_tokens_in_one_reading(spark, posts, monkeypatch, most):
+    monkeypatch.setattr(daily, "MOST_TESTED", most)
+    tables, pieces = [], daily.listed_pieces
+    monkeypatch.setattr(daily, "listed_pieces", lambda *args: tables.append(1) or pieces(*args))
+    listed = spark.createDataFrame([(w,) for w in [*LISTED, "the", "", None]], "token string")
+    plain = daily.token_frequency(posts, T.tokenize(F.col("text")), ["user_id"]).where(F.col("token").isin(LISTED))
+    got = daily.listed_frequency(posts, T.tokenize, listed, ["user_id"], "text")
+    assert got.dtypes == plain.dtypes and rows(got) == rows(plain) != []
+    assert bool(tables) == (most < len(LISTED))
+
+
+def test_nothing_listed(spark, posts):
+    none = spark.createDataFrame([], "token string")
+    assert daily.listed_frequency(posts, T.tokenize, none, ["user_id"], "text").count() == 0
+
+
 def test_emotions_as_from_whole_texts(spark):
     lexicon = spark.createDataFrame([("the", "joy", 0.2), ("cat", "fear", 0.5), ("the", "anger", 0.1), ("@user", "sadness", 0.3),
                                      ("end", "other", 9.0)], "token string, label string, weight double")
