@@ -57,6 +57,17 @@ def test_listed_tokens_in_one_reading(spark, posts, monkeypatch, most):
     assert bool(tables) == (most < len(LISTED))
 
 
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_few_texts_are_tokenised_whole(spark, monkeypatch, most):
+    monkeypatch.setattr(daily, "MOST_TOGETHER", most)
+    texts = spark.createDataFrame([(i, text) for i, text in enumerate(TEXTS)] + [(0, "the The"), (0, "cat"), (None, "end")],
+                                  "doc_id long, text string")
+    plain = daily.token_frequency(texts, T.tokenize(F.col("text")), ["doc_id"])
+    got = daily.user_token_frequency(texts, T.tokenize, ["doc_id"], "text")
+    assert got.dtypes == plain.dtypes and rows(got) == rows(plain) != []
+    assert "_piece" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nothing_listed(spark, posts):
     none = spark.createDataFrame([], "token string")
     assert daily.listed_frequency(posts, T.tokenize, none, ["user_id"], "text").count() == 0
