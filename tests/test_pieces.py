@@ -113,3 +113,17 @@ def test_cells_that_add_up_exchange_no_texts(spark):
     summed = lambda df: rows(df.groupBy("row_id", "type", "token").agg(F.sum("value").alias("value")))
     assert summed(parts) == summed(cells) != []
     assert "RepartitionByExpression" not in parts._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("by", [[], ["user_id"], ["user_id", "day"], ["tags"]])
+def test_pieces_are_counted_in_the_tasks(spark, monkeypatch, by):
+    from agorasift.operators import pieces
+
+    monkeypatch.setattr(pieces, "HELD", 5)
+    monkeypatch.setattr(pieces, "BYTES_AT_ONCE", 40)
+    texts = spark.createDataFrame([(i % 3 or None, f"d{i % 2}", [i % 2], text) for i, text in enumerate(TEXTS * 4)],
+                                  "user_id long, day string, tags array<int>, text string").repartition(2)
+    plain = texts.select(*by, F.explode(F.split("text", " ")).alias("_piece")).groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    found = pieces.piece_counts(texts, by, "text")
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found.groupBy(*by, "_piece").agg(F.sum("_n").alias("_n"))) == rows(plain) != []
