@@ -96,9 +96,10 @@ def label_min_probability(t):
 
 
 def class_vectors(t):
-    """Feature sums of each class, from cells that add up; classes are stored, so that their size is known."""
+    """Feature sums of each class, from cells of the classes; classes are stored, so that their size is known."""
     classes = stored(t.predictions.select(F.col("user_id").alias("row_id"), "predicted_class"), "classes")
-    return S.group_vectors(user_features(t, add_up=True), classes, ["type", "token"])
+    named = classes.select(F.col("predicted_class").alias("row_id"), "predicted_class").distinct()
+    return S.group_vectors(user_features(t, groups=classes), named, ["type", "token"])
 
 
 @query("group_vectors", """
@@ -182,7 +183,7 @@ _IMPORTANCE = "CAST((length(token) * 7 + ascii(token)) % 23 AS DOUBLE) / 23"
 
 def importances(t):
     value = ((F.length("token") * 7 + F.ascii("token")) % 23).cast("double") / 23
-    return user_features(t, add_up=True).select("type", "token").distinct().withColumn("importance", value)
+    return user_features(t, groups=F.lit("all")).select("type", "token").distinct().withColumn("importance", value)
 
 
 _TITLES = """CASE type WHEN 'description_token' THEN 'bio' WHEN 'domain' THEN 'link' WHEN 'rt_target' THEN 'RT' WHEN 'reply_target' THEN 'REPLY'

@@ -127,3 +127,21 @@ def test_pieces_are_counted_in_the_tasks(spark, monkeypatch, by):
     found = pieces.piece_counts(texts, by, "text")
     assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
     assert rows(found.groupBy(*by, "_piece").agg(F.sum("_n").alias("_n"))) == rows(plain) != []
+
+
+def test_cells_of_groups_are_counted_by_group(spark):
+    t = Tables(spark, SMALL)
+    kinds = [(u, ("alpha", "beta", None)[u % 3]) for u in range(1, 40) if u % 5] + [(3, "beta")]
+    classes = spark.createDataFrame(kinds, "row_id long, predicted_class string")
+    got = labels.user_features(t, groups=classes)
+    users = labels.user_features(t).join(classes, "row_id").select(F.col("predicted_class").alias("row_id"), "type", "token", "value")
+    summed = lambda df: rows(df.groupBy("row_id", "type", "token").agg(F.sum("value").alias("value")))
+    assert summed(got) == summed(users) != []
+    everyone = labels.user_features(t, groups=F.lit("all"))
+    assert rows(everyone.select("type", "token").distinct()) == rows(labels.user_features(t).select("type", "token").distinct())
+    # texts are joined to nothing once they are cut
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    cut = [i for i, line in enumerate(plan) if "MapInArrow" in line]
+    above = {min((i for i in range(c) if depth(plan[i]) == d), key=lambda i: c - i) for c in cut for d in {depth(p) for p in plan[:c]} if d < depth(plan[c])}
+    assert len(cut) == 3 and not any("Join" in plan[i] for i in above)
