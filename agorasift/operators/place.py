@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from agorasift.functions import geo
 from agorasift.functions import text as T
-from agorasift.operators.daily import listed_pieces
+from agorasift.operators.daily import MOST_TESTED, listed_pieces
 from agorasift.operators.durable import stored
 from agorasift.operators.labels import inverse_frequency, tfidf
+from agorasift.operators.pieces import listed_piece_counts
 from agorasift.operators.ranking import exact_quantiles, top_rows
 
 EMOTIONS = ("anger", "fear", "joy", "sadness")
@@ -94,14 +95,24 @@ def emotion_scores(posts: DataFrame, lexicon: DataFrame, key: str = "id", text:
     """Softmax of the lexicon weights found in each post; no hits give equal shares.
 
     ``lexicon`` is the small table (token, label, weight).  Handles and tokens
-    end at spaces, so only distinct pieces between spaces are tokenised.
+    end at spaces, so only pieces between spaces are tokenised: with up to
+    ``MOST_TESTED`` tokens those that may hold one, in one reading of the
+    texts; with more the distinct ones, in two.
     """
-    pieces = listed_pieces(posts, lambda piece: T.tokenize(T.mask_handles(piece)), lexicon, text)
+    tokens = lambda piece: T.tokenize(T.mask_handles(piece))
     weight = F.col("weight") * F.col("_n")
-    pieces = stored(pieces.join(lexicon, "token").groupBy("_piece").agg(*[
-        F.sum(F.when(F.col("label") == c, weight).otherwise(0.0)).alias(f"_{c}") for c in labels]), "weights")
-    words = posts.select(key, F.explode(F.split(text, " ")).alias("_piece")).join(pieces, "_piece")
-    found = words.groupBy(key).agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in labels])
+    sums = lambda of: [F.sum(F.when(F.col("label") == c, of).otherwise(0.0)).alias(f"_{c}") for c in labels]
+    listed = [row[0] for row in lexicon.where(F.length("token") > 0).select("token").distinct().limit(MOST_TESTED + 1).collect()]
+    if len(listed) <= MOST_TESTED:
+        pieces = listed_piece_counts(posts, [key], text, listed)
+        # outer, or Spark tokenises each piece once more to see whether it has any tokens
+        words = pieces.select(key, F.explode_outer(tokens(F.col("_piece"))).alias("token"), "_n")
+        found = words.where(F.col("token").isin(listed)).join(lexicon, "token").groupBy(key).agg(*sums(weight))
+    else:
+        pieces = listed_pieces(posts, tokens, lexicon, text)
+        pieces = stored(pieces.join(lexicon, "token").groupBy("_piece").agg(*sums(weight)), "weights")
+        words = posts.select(key, F.explode(F.split(text, " ")).alias("_piece")).join(pieces, "_piece")
+        found = words.groupBy(key).agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in labels])
     scored = posts.drop(text).join(found, key, "left").na.fill(0.0, [f"_{c}" for c in labels])
     top = F.greatest(*[F.col(f"_{c}") for c in labels])
     scored = scored.withColumns({f"_{c}": F.exp(F.col(f"_{c}") - top) for c in labels})

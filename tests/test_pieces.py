@@ -145,3 +145,21 @@ def test_cells_of_groups_are_counted_by_group(spark):
     cut = [i for i, line in enumerate(plan) if "MapInArrow" in line]
     above = {min((i for i in range(c) if depth(plan[i]) == d), key=lambda i: c - i) for c in cut for d in {depth(p) for p in plan[:c]} if d < depth(plan[c])}
     assert len(cut) == 3 and not any("Join" in plan[i] for i in above)
+
+
+@pytest.mark.parametrize("special", [[], [("żółć", "joy", 0.3), ("i̇stanbul", "fear", 0.7), ("οδος", "anger", 0.2)]])
+def test_emotions_in_one_reading(spark, monkeypatch, special):
+    monkeypatch.setattr(place, "listed_pieces", lambda *args: pytest.fail("texts are read twice"))
+    lexicon = spark.createDataFrame([("the", "joy", 0.2), ("cat's", "fear", 0.5), ("@user", "sadness", 0.3), ("http", "anger", 0.4),
+                                     ("12", "joy", 0.1), ("", "joy", 9.0), (None, "joy", 9.0), *special], "token string, label string, weight double")
+    texts = [*TEXTS, "THE @x http httpd http12 (the) the\nthe", "@", "the " * 50]
+    posts = spark.createDataFrame(list(enumerate(texts)) + [(None, "the")], "id long, text string")
+    words = posts.select("id", F.explode(T.tokenize(T.mask_handles(F.col("text")))).alias("token")).join(lexicon, "token")
+    found = {(r["id"], r["label"]): r["s"] for r in words.groupBy("id", "label").agg(F.sum("weight").alias("s")).collect()}
+    import math
+
+    got = place.emotion_scores(posts, lexicon).collect()
+    assert len(got) == len(texts) + 1 and len(found) > 8
+    for r in got:
+        parts = [math.exp(found.get((r["id"], e), 0.0) if r["id"] is not None else 0.0) for e in place.EMOTIONS]
+        assert [r[e] for e in place.EMOTIONS] == pytest.approx([p / sum(parts) for p in parts])
