@@ -71,6 +71,8 @@ def near_pairs(prints: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     high halves, or between its low halves where the high ones are too far.
     A fingerprint has a bounded number of links whatever the table's size;
     the join is a plain one that adaptive execution splits at a hot value.
+    It is told to sort and merge: Spark takes a side to be as small as the
+    fingerprints it is exploded from, 66 times too small, and would broadcast it.
     """
     if bits > MOST_BITS:
         raise ValueError(f"two segments with balls of one bit find {MOST_BITS} differing bits at most")
@@ -82,7 +84,7 @@ def near_pairs(prints: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     met_low = (F.col("s1") == 1) & (F.bit_count(high) > 2) & (
         F.col("v1") == _meeting(F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)), low))
     verified = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits) & (met_high | met_low)
-    return left.join(right, (F.col("s1") == F.col("s2")) & (F.col("v1") == F.col("v2")) & verified).select("a", "b")
+    return left.join(right.hint("merge"), (F.col("s1") == F.col("s2")) & (F.col("v1") == F.col("v2")) & verified).select("a", "b")
 
 
 def _meeting(mine: Column, differ: Column) -> Column:
